@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from html.entities import name2codepoint
 
 from pyspark.sql import Column, functions as F
@@ -27,8 +28,9 @@ def _character(code: Column) -> Column:
 
 def _named() -> Column:
     # The HTML 4 names, amp and friends among them, from the standard library.
-    pairs = [F.lit(x) for name, code in name2codepoint.items() for x in (f"&{name};", chr(code))]
-    return F.create_map(*pairs)
+    # As one JSON text it stays a single constant in the plan.
+    names = {f"&{name};": chr(code) for name, code in name2codepoint.items()}
+    return F.from_json(F.lit(json.dumps(names)), "map<string,string>")
 
 
 def decode(text: Column) -> Column:

@@ -9,10 +9,34 @@ TAXONOMY_SCHEMA = (
 )
 
 
+# Categories, subcategories and topics of online businesses.
+TOPIC_TREE = {
+    "D": {
+        "Leisure": ["Hotels", "Flights", "Holidays", "Food"],
+        "News and entertainment": [
+            "News", "Blogs", "Vlogs", "Games", "Videos, music", "Books", "e-learning",
+            "Gambling", "Adult",
+        ],
+        "Business": ["Advertising", "Finance", "Consultancy", "Jobs"],
+        "Retail": ["Housing", "Price comparison", "Tickets", "Auctions", "Online trade"],
+        "General services": ["Dating", "Visualisations", "Transport", "Online payment"],
+    },
+    "E": {
+        "Hosting and cloud": [
+            "Webhosting", "Cloud services, Datacentres", "Website design, developing",
+            "App design, developing",
+        ],
+        "Software": ["Software products and services"],
+        "Marketing and consultancy": ["Internet marketing", "Internet consultancy"],
+        "Infrastructure and security": ["Firewalls", "Datamining & Big Data"],
+    },
+}
+
+
 def taxonomy(
     spark: SparkSession,
-    tree: dict[str, dict[str, list[str]]],
     keywords: dict[str, list[str]],
+    tree: dict[str, dict[str, list[str]]] = TOPIC_TREE,
 ) -> DataFrame:
     """A nested category tree and its topic keywords as rows, in order.
 

@@ -153,7 +153,8 @@ def tf_idf(
         .agg(F.count(F.lit(1)).alias("n"))
     )
     n_docs = docs.agg(F.count_distinct(key).alias("n")).scalar()
-    spread = counts.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    # Counting on n keeps both uses of counts the same, so that it runs once.
+    spread = counts.groupBy("word").agg(F.count_if(F.col("n") > 0).alias("df"))
     idf = F.log((1 + n_docs) / (1 + F.col("df"))) + 1
     raw = salted_join(counts, spread, "word", "df", F.col("doc")).select(
         "doc", "word", (F.col("n") * idf).alias("v")
@@ -175,7 +176,8 @@ def mean_word_frequency(
     Keys without the word count as 0. Stop words add to a key's number of
     distinct words but get no row.
     """
-    sizes = counts.groupBy(key).agg(F.count(F.lit(1)).alias("n_distinct"))
+    # Counting on n keeps both uses of counts the same, so that it runs once.
+    sizes = counts.groupBy(key).agg(F.count_if(F.col("n") > 0).alias("n_distinct"))
     n_keys = sizes.agg(F.count(F.lit(1)).alias("n")).scalar()
     share = without_stop_words(
         salted_join(counts, sizes, key, "n_distinct", F.col("word")), stop_words

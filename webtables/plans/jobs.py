@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from webtables.operators import cluster, evaluate, pages as P, rollup, topics as K, words
 from webtables.sources.tables import load_or_build
@@ -30,7 +30,8 @@ def clustered_websites(
     weights = words.tf_idf(sites, "netloc", stop_words=stop_words)
 
     def build() -> DataFrame:
-        return cluster.cluster_documents(weights, k, seed)
+        docs = sites.select(F.col("netloc").alias("doc")).distinct()
+        return cluster.cluster_documents(weights, docs, k, seed)
 
     labels = build() if stored is None else load_or_build(texts.sparkSession, stored, build)
     return labels, cluster.top_cluster_words(weights, labels)
