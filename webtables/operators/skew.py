@@ -1,43 +1,13 @@
-"""Help for keys that hold a large share of all rows."""
+"""Groups of bounded size for keys that hold a large share of all rows.
 
-from __future__ import annotations
-
-from pyspark.sql import Column, DataFrame, functions as F
-
-# A key is hot when it has more rows than this and than 1/1000 of them all, so
-# at most 999 keys are hot, whatever the data: their list is safe to broadcast.
-HOT_ROWS = 200_000
-HOT_SHARE = 1000
+Joins with one summary row per key need no help of this kind: adaptive
+execution splits the partition of a hot key and repeats the summary row, as
+long as ``spark.sql.adaptive.skewJoin.enabled`` keeps its default.
+"""
 
+from __future__ import annotations
 
-def salted_join(
-    rows: DataFrame,
-    summary: DataFrame,
-    key: str,
-    weight: str,
-    spread: Column,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Inner join of rows with one summary row per key, hot keys split.
-
-    ``weight`` is the summary's count of ``rows`` rows per key. A hot key's
-    rows are spread by the hash of ``spread`` over as many salts as its weight
-    asks for, and its summary row is repeated once per salt.
-    """
-    total = summary.agg(F.coalesce(F.sum(weight), F.lit(0)).alias("total")).scalar()
-    limit = F.greatest(F.lit(hot_rows), F.floor(total / HOT_SHARE))
-    hot = summary.filter(F.col(weight) > limit).select(
-        key, F.ceil(F.col(weight) / limit).cast("int").alias("_salts")
-    )
-    left = rows.join(F.broadcast(hot), key, "left").withColumn(
-        "_salt",
-        F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.hash(spread), "_salts")),
-    )
-    right = summary.join(F.broadcast(hot), key, "left").withColumn(
-        "_salt",
-        F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)),
-    )
-    return left.drop("_salts").join(right.drop("_salts"), [key, "_salt"]).drop("_salt")
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def with_chunk(
@@ -56,10 +26,13 @@ def with_chunk(
     """
     size = F.lit(1) if size is None else size
     marked = rows.withColumn("_range", F.floor(ordinal / (width or limit)))
-    counts = marked.groupBy(key, "_range").agg(F.sum(size).alias("_n"))
-    large = counts.groupBy(key).agg(F.sum("_n").alias("_n")).filter(F.col("_n") > limit)
-    cut = counts.join(large.select(key), key, "left_semi").select(
-        key, "_range", (F.col("_range") + 1).alias("_cut")
+    # One row per key and range, so the window sees a small part of the rows.
+    ranges = marked.groupBy(key, "_range").agg(F.sum(size).alias("_size"))
+    whole = F.sum("_size").over(Window.partitionBy(key))
+    cut = (
+        ranges.withColumn("_whole", whole)
+        .filter(F.col("_whole") > limit)
+        .select(key, "_range", (F.col("_range") + 1).alias("_cut"))
     )
     return (
         marked.join(cut, [key, "_range"], "left")

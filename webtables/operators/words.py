@@ -12,7 +12,7 @@ from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame, Window, functions as F
 
 from webtables.functions import text as X, urls
-from webtables.operators.skew import salted_join, with_chunk
+from webtables.operators.skew import with_chunk
 
 TEXT_LIMIT = 50_000_000
 TEXT_PAGES = 1000
@@ -56,6 +56,7 @@ def word_counts(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """
     return (
         docs.select(key, F.explode(X.words(F.col(text))).alias("word"))
+        .filter(F.col(key).isNotNull() & F.col("word").isNotNull())
         .groupBy(key, "word")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -146,8 +147,11 @@ def tf_idf(
     weight = n * (ln((1 + docs) / (1 + docs with word)) + 1), over its length.
     """
     stops = default_stop_words() if stop_words is None else list(stop_words)
+    # Both joins below drop null keys; dropping them here first keeps every use
+    # of counts the same plan, so that the texts are read and shuffled once.
     counts = (
         docs.select(F.col(key).alias("doc"), F.explode(X.terms(F.col(text))).alias("word"))
+        .filter(F.col("doc").isNotNull() & F.col("word").isNotNull())
         .filter(~F.col("word").isin(*stops))
         .groupBy("doc", "word")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -156,14 +160,9 @@ def tf_idf(
     # Counting on n keeps both uses of counts the same, so that it runs once.
     spread = counts.groupBy("word").agg(F.count_if(F.col("n") > 0).alias("df"))
     idf = F.log((1 + n_docs) / (1 + F.col("df"))) + 1
-    raw = salted_join(counts, spread, "word", "df", F.col("doc")).select(
-        "doc", "word", (F.col("n") * idf).alias("v")
-    )
-    lengths = raw.groupBy("doc").agg(
-        F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("length"),
-        F.count(F.lit(1)).alias("n_words"),
-    )
-    return salted_join(raw, lengths, "doc", "n_words", F.col("word")).select(
+    raw = counts.join(spread, "word").select("doc", "word", (F.col("n") * idf).alias("v"))
+    lengths = raw.groupBy("doc").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("length"))
+    return raw.join(lengths, "doc").select(
         "doc", "word", (F.col("v") / F.col("length")).alias("weight")
     )
 
@@ -179,9 +178,7 @@ def mean_word_frequency(
     # Counting on n keeps both uses of counts the same, so that it runs once.
     sizes = counts.groupBy(key).agg(F.count_if(F.col("n") > 0).alias("n_distinct"))
     n_keys = sizes.agg(F.count(F.lit(1)).alias("n")).scalar()
-    share = without_stop_words(
-        salted_join(counts, sizes, key, "n_distinct", F.col("word")), stop_words
-    )
+    share = without_stop_words(counts.join(sizes, key), stop_words)
     return share.groupBy("word").agg(
         (F.sum(F.col("n") / F.col("n_distinct")) / n_keys).alias("mean_freq")
     )

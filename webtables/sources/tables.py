@@ -12,7 +12,7 @@ SEED_SCHEMA = "txt_line_num bigint, netloc string"
 CRAWL_SCHEMA = "URL string, Text string"
 
 
-def spread_scan(table: DataFrame, key: str) -> DataFrame:
+def spread_scan(table: DataFrame) -> DataFrame:
     """Give a scan of few files a task per core; leave larger scans alone.
 
     Reading pages is heavy on the processor, and a small table comes in too
@@ -20,13 +20,13 @@ def spread_scan(table: DataFrame, key: str) -> DataFrame:
     """
     cores = table.sparkSession.sparkContext.defaultParallelism
     if table.rdd.getNumPartitions() < cores:
-        return table.repartition(cores, key)
+        return table.repartition(cores)
     return table
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Captured pages: page_id, url, html."""
-    return spread_scan(spark.read.parquet(path).select("page_id", "url", "html"), "page_id")
+    return spread_scan(spark.read.parquet(path).select("page_id", "url", "html"))
 
 
 def read_seeds(spark: SparkSession, path: str) -> DataFrame:
