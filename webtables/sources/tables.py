@@ -93,3 +93,13 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     return f"{folder.rstrip('/')}/webtables-{uuid.uuid4().hex}"
+
+
+def materialise(table: DataFrame) -> DataFrame:
+    """The table written to the shared folder once and read from there.
+
+    Cuts the lineage: a lost executor costs a re-read, not a recomputation.
+    """
+    folder = shared_folder(table.sparkSession)
+    write_table(table, folder)
+    return table.sparkSession.read.schema(table.schema).parquet(folder)
