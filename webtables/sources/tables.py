@@ -40,15 +40,15 @@ def read_csv(
 ) -> DataFrame:
     """CSV with quoted newlines; a folder is read whole, its files in one table.
 
-    Every column is a string unless a schema gives its type. Without a header
-    the columns are numbered from 0.
+    Every column is a string, empty where the field is, unless a schema gives
+    its type. Without a header the columns are numbered from 0.
     """
     reader = spark.read.options(
         header=header, multiLine=True, quote='"', escape='"', enforceSchema=False
     )
     if schema is not None:
         return reader.schema(schema).csv(path)
-    table = reader.csv(path)
+    table = reader.csv(path).na.fill("")
     if header:
         return table
     return table.toDF(*[str(i) for i in range(len(table.columns))])
