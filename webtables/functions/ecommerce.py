@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
+from webtables.functions.binding import let
 from webtables.functions.html import attr, has_token, script_bodies, tokens_of
 
 # Payment names looked for, in reporting order.
@@ -100,10 +101,11 @@ def has_card(tags: Column, html: Column) -> Column:
 
 def payment_systems(html: Column) -> Column:
     """Payment names that occur in the page in any letter case."""
-    lowered = F.lower(html)
-    return F.array_compact(
-        F.array(*[F.when(lowered.contains(name), F.lit(name)) for name in PAYMENT_NAMES])
-    )
+
+    def found(lowered: Column) -> Column:
+        return F.array(*[F.when(lowered.contains(name), F.lit(name)) for name in PAYMENT_NAMES])
+
+    return F.array_compact(let(F.lower(html), found))
 
 
 def alternative_flags(tags: Column, html: Column) -> dict[str, Column]:

@@ -7,6 +7,8 @@ from html.entities import name2codepoint
 
 from pyspark.sql import Column, functions as F
 
+from webtables.functions.binding import let
+
 _PIECE = r"&[#a-zA-Z0-9]+;|[^&]+|&"
 
 
@@ -45,6 +47,9 @@ def decode(text: Column) -> Column:
         )
         return F.when(piece.startswith("&") & piece.endswith(";"), known).otherwise(piece)
 
-    pieces = F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0))
-    decoded = F.array_join(F.transform(pieces, one), "")
-    return F.when(text.contains("&"), decoded).otherwise(text)
+    def decoded(whole: Column) -> Column:
+        pieces = F.regexp_extract_all(whole, F.lit(_PIECE), F.lit(0))
+        joined = F.array_join(F.transform(pieces, one), "")
+        return F.when(whole.contains("&"), joined).otherwise(whole)
+
+    return let(text, decoded)

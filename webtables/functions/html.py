@@ -16,6 +16,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, functions as F
 
 from webtables.functions import entities
+from webtables.functions.binding import let
 
 _SPACE = r"[ \t\n\f\r]"
 # What may stand between a tag's name and its ">", closing slashes apart.
@@ -23,6 +24,7 @@ _INSIDE = r"""(?:/*+(?:[^>"'/]++|"[^"]*+"|'[^']*+'))*+"""
 _AFTER_NAME = rf"(?:(?=[ \t\n\f\r/]){_INSIDE})?+"
 
 _START_TAG = rf"""<([a-zA-Z][^ \t\n\f\r/>"']*+)({_INSIDE}/*+)>"""
+_BARE_TAG = r"^<[a-zA-Z0-9]++/?+>$"
 _ANY_TAG = rf"""</?[a-zA-Z]{_INSIDE}/*+>|<[!?/][^>]*+>"""
 _ATTRIBUTE = (
     rf"""([^ \t\n\f\r"'>/=]++)(?:{_SPACE}*+={_SPACE}*+("[^"]*+"|'[^']*+'|[^ \t\n\f\r"'>]++))?+"""
@@ -31,8 +33,9 @@ _COMMENT = r"<!--.*?(?:-->|\z)"
 _EMPTY_RAW = rf"<(?:script|style){_AFTER_NAME}/++>"
 _SCRIPT = rf"(<script{_AFTER_NAME}>)(.*?)(?:</script[^>]*+>|\z)"
 _STYLE = rf"(<style{_AFTER_NAME}>)(.*?)(?:</style[^>]*+>|\z)"
-_BLANKED = rf"(?is){_COMMENT}|({_EMPTY_RAW})|{_SCRIPT}|{_STYLE}"
-_NO_COMMENTS = rf"(?is){_COMMENT}|({_EMPTY_RAW}|{_SCRIPT}|{_STYLE})"
+# The look-ahead passes over most of the page at one comparison per character.
+_BLANKED = rf"(?is)(?=<[!s])(?:{_COMMENT}|({_EMPTY_RAW})|{_SCRIPT}|{_STYLE})"
+_NO_COMMENTS = rf"(?is)(?=<[!s])(?:{_COMMENT}|({_EMPTY_RAW}|{_SCRIPT}|{_STYLE}))"
 _TOKEN = rf"(?is){_EMPTY_RAW}|{_SCRIPT}|{_STYLE}|{_ANY_TAG}|[^<]++|<"
 _FOOTER = rf"(?is)<footer{_AFTER_NAME}>(.*?)(?:</footer|\z)"
 _TITLE = rf"(?is)<title{_AFTER_NAME}>([^<]+)"
@@ -57,29 +60,40 @@ def tag_array(html: Column) -> Column:
     ``pos`` counts every start tag of the page from 0. Tag and attribute names
     are lower case, values have their quotes off and references decoded.
     """
-    starts = F.regexp_extract_all(blank_raw_text(html), F.lit(_START_TAG), F.lit(0))
+    return tags_of(blank_raw_text(html))
 
-    def parse(start: Column, pos: Column) -> Column:
-        inside = F.regexp_extract(start, _START_TAG, 2)
+
+def tags_of(blanked: Column) -> Column:
+    """``tag_array`` of a page whose raw text is blanked already."""
+    starts = F.regexp_extract_all(blanked, F.lit(_START_TAG), F.lit(0))
+
+    placed = F.transform(
+        starts, lambda s, i: F.struct(i.cast("int").alias("pos"), s.alias("start"))
+    )
+    # Most tags are bare, and telling so is cheaper than parsing them.
+    full = F.filter(placed, lambda t: ~t["start"].rlike(_BARE_TAG))
+
+    def parse(t: Column) -> Column:
         return F.struct(
-            pos.cast("int").alias("pos"),
-            F.lower(F.regexp_extract(start, _START_TAG, 1)).alias("tag"),
-            _attributes(inside).alias("attrs"),
+            t["pos"].alias("pos"),
+            F.lower(F.regexp_extract(t["start"], _START_TAG, 1)).alias("tag"),
+            _attributes(F.regexp_extract(t["start"], _START_TAG, 2)).alias("attrs"),
         )
 
-    return F.filter(F.transform(starts, parse), lambda t: F.size(t["attrs"]) > 0)
+    return F.filter(F.transform(full, parse), lambda t: F.size(t["attrs"]) > 0)
 
 
 def _attributes(inside: Column) -> Column:
-    names = F.regexp_extract_all(inside, F.lit(_ATTRIBUTE), F.lit(1))
-    values = F.regexp_extract_all(inside, F.lit(_ATTRIBUTE), F.lit(2))
-    return F.zip_with(
-        names,
-        values,
-        lambda name, value: F.struct(
-            F.lower(name).alias("name"), _unquoted(value).alias("value")
-        ),
-    )
+    def pairs(text: Column) -> Column:
+        return F.zip_with(
+            F.regexp_extract_all(text, F.lit(_ATTRIBUTE), F.lit(1)),
+            F.regexp_extract_all(text, F.lit(_ATTRIBUTE), F.lit(2)),
+            lambda name, value: F.struct(
+                F.lower(name).alias("name"), _unquoted(value).alias("value")
+            ),
+        )
+
+    return let(inside, pairs)
 
 
 def _unquoted(value: Column) -> Column:
@@ -88,16 +102,21 @@ def _unquoted(value: Column) -> Column:
     return entities.decode(F.coalesce(bare, F.lit("")))
 
 
-def tag_array_if(html: Column, needles: Iterable[str]) -> Column:
-    """``tag_array`` of pages that may hold one of the texts, else an empty one.
+def may_hold(html: Column, needles: Iterable[str]) -> Column:
+    """False only if no decoded value of the page can hold one of the texts.
 
     A decoded value can only hold a text that the raw page holds too, unless
-    numeric references spell it; pages with those are always parsed.
+    numeric references spell it; pages with those always may.
     """
     wanted = html.contains("&#")
     for needle in needles:
         wanted = wanted | html.contains(needle)
-    return F.when(wanted, tag_array(html)).otherwise(
+    return wanted
+
+
+def tags_if(wanted: Column, blanked: Column) -> Column:
+    """Tags of a blanked page if wanted, else none."""
+    return F.when(wanted, tags_of(blanked)).otherwise(
         F.array().cast(
             "array<struct<pos:int,tag:string,attrs:array<struct<name:string,value:string>>>>"
         )
@@ -140,8 +159,12 @@ def attribute_rows(tag: Column) -> Column:
 
 def title(html: Column) -> Column:
     """First text of a title element, null when there is none."""
-    text = F.nullif(F.regexp_extract(blank_raw_text(html), _TITLE, 1), F.lit(""))
-    return entities.decode(text)
+    return title_of(blank_raw_text(html))
+
+
+def title_of(blanked: Column) -> Column:
+    found = F.regexp_extract(blanked, _TITLE, 1)
+    return let(found, lambda text: F.when(text != "", entities.decode(text)))
 
 
 def meta_content(tags: Column, name: str) -> Column:
@@ -198,23 +221,33 @@ def page_text(html: Column) -> Column:
 
 def phone_numbers(html: Column) -> Column:
     """Distinct numbers of ``tel:`` links, sorted; null for a link without one."""
-    links = F.regexp_extract_all(blank_raw_text(html), F.lit(_LINK), F.lit(0))
+    may_have = html.contains("tel:") | html.contains("&#")
+    return F.when(may_have, phones_of(blank_raw_text(html))).otherwise(
+        F.array().cast("array<string>")
+    )
+
+
+def phones_of(blanked: Column) -> Column:
+    links = F.regexp_extract_all(blanked, F.lit(_LINK), F.lit(0))
 
     def number(link: Column) -> Column:
         hrefs = F.filter(
             _attributes(F.regexp_extract(link, _LINK, 1)), lambda a: a["name"] == "href"
         )
-        href = F.get(hrefs, F.lit(0))["value"]
-        text = entities.decode(F.nullif(F.regexp_extract(link, _LINK, 2), F.lit("")))
-        value = F.when(F.length(href) > 4, F.substring(href, 5, 2**31 - 1)).otherwise(text)
-        return F.struct(href.startswith("tel:").alias("is_tel"), value.alias("value"))
+        text = let(
+            F.regexp_extract(link, _LINK, 2), lambda t: F.when(t != "", entities.decode(t))
+        )
+
+        def found(href: Column) -> Column:
+            value = F.when(F.length(href) > 4, F.substring(href, 5, 2**31 - 1)).otherwise(text)
+            return F.struct(href.startswith("tel:").alias("is_tel"), value.alias("value"))
+
+        return let(F.get(hrefs, F.lit(0))["value"], found)
 
     numbers = F.transform(
         F.filter(F.transform(links, number), lambda n: n["is_tel"]), lambda n: n["value"]
     )
-    found = F.array_sort(F.array_distinct(numbers))
-    may_have = html.contains("tel:") | html.contains("&#")
-    return F.when(may_have, found).otherwise(F.array().cast("array<string>"))
+    return F.array_sort(F.array_distinct(numbers))
 
 
 # Networks whose links count as social.

@@ -27,8 +27,11 @@ def page_tags(pages: DataFrame) -> DataFrame:
 
 
 def with_tags(pages: DataFrame, needles: tuple[str, ...] = _TAG_NEEDLES) -> DataFrame:
-    """Add the tag array of pages that hold one of the texts."""
-    return pages.withColumn("tags", H.tag_array_if(F.col("html"), needles))
+    """Add the page with its raw text blanked, and the tags of pages that may
+    hold one of the texts."""
+    html = F.col("html")
+    blanked = pages.withColumn("blanked", H.blank_raw_text(html))
+    return blanked.withColumn("tags", H.tags_if(H.may_hold(html, needles), F.col("blanked")))
 
 
 def page_type(url: Column) -> Column:
@@ -69,7 +72,7 @@ def page_records(pages: DataFrame, fetch_log: DataFrame | None = None) -> DataFr
     is_home = F.col("page_type") == "homepage"
     body, tags = F.col("html"), F.col("tags")
     homepage = {
-        "title": H.title(body),
+        "title": H.title_of(F.col("blanked")),
         "description": H.meta_content(tags, "description"),
         "author": H.meta_content(tags, "author"),
         "copyright": H.copyright_lines(body),
@@ -141,7 +144,9 @@ def _generic_columns() -> list[Column]:
         url,
         urls.level(url).alias("level"),
         urls.domain(url).alias("website"),
-        H.phone_numbers(F.col("html")).alias("phone_numbers"),
+        F.when(H.may_hold(F.col("html"), ["tel:"]), H.phones_of(F.col("blanked")))
+        .otherwise(F.array().cast("array<string>"))
+        .alias("phone_numbers"),
         H.social_links(F.col("tags")).alias("social_links"),
     ]
 

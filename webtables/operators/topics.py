@@ -63,12 +63,9 @@ def topic_votes(sites: DataFrame, topics: DataFrame, key: str = "site") -> DataF
     ``sites`` has key and keywords. A keyword repeated within a topic's own
     list counts once.
     """
-    words = topics.select(
-        "topic", "topic_ord", F.explode(F.array_distinct("keywords")).alias("word")
-    )
     return (
         sites.select(key, F.explode("keywords").alias("word"))
-        .join(words, "word")
+        .join(_topic_words(topics), "word")
         .groupBy(key, "topic", "topic_ord")
         .agg(F.count(F.lit(1)).alias("votes"))
     )
@@ -76,38 +73,49 @@ def topic_votes(sites: DataFrame, topics: DataFrame, key: str = "site") -> DataF
 
 def winning_topics(sites: DataFrame, topics: DataFrame, key: str = "site") -> DataFrame:
     """The topics with the most votes of a site, all ties kept."""
-    order = Window.partitionBy(key).orderBy(F.desc("votes"))
-    return (
-        topic_votes(sites, topics, key)
-        .withColumn("_rank", F.rank().over(order))
-        .filter(F.col("_rank") == 1)
-        .drop("_rank")
-    )
+    return _most_voted(topic_votes(sites, topics, key), key)
 
 
 def site_topics(sites: DataFrame, topics: DataFrame, key: str = "site") -> DataFrame:
-    """Every site with its topics in order and its subcategory and category sets."""
-    levels = topics.select("topic_ord", "subcategory", "category")
-    listed = (
-        winning_topics(sites, topics, key)
-        .join(levels, "topic_ord")
+    """Every site with its winning topics in order: key, topics, subcategories, categories.
+
+    A site without any match keeps a row with empty lists.
+    """
+    # A site's unmatched keywords meet in one row without topic and votes, so
+    # that sites need no second pass to find those without topics.
+    votes = (
+        sites.select(key, F.explode_outer("keywords").alias("word"))
+        .join(_topic_words(topics), "word", "left")
+        .groupBy(key, "topic", "topic_ord", "subcategory", "category")
+        .agg(F.count("topic").alias("votes"))
+    )
+    entry = F.when(F.col("topic").isNotNull(), F.struct("topic_ord", "topic"))
+    return (
+        _most_voted(votes, key)
         .groupBy(key)
         .agg(
-            F.array_sort(F.collect_list(F.struct("topic_ord", "topic"))).alias("ordered"),
+            F.transform(F.array_sort(F.collect_list(entry)), lambda t: t["topic"]).alias("topics"),
             F.array_sort(F.collect_set("subcategory")).alias("subcategories"),
             F.array_sort(F.collect_set("category")).alias("categories"),
         )
     )
-    none = F.array().cast("array<string>")
-    topic_names = F.transform("ordered", lambda t: t["topic"])
-    return sites.join(listed, key, "left").select(
-        *sites.columns,
-        F.coalesce(topic_names, none).alias("topics"),
-        F.coalesce("subcategories", none).alias("subcategories"),
-        F.coalesce("categories", none).alias("categories"),
+
+
+def _topic_words(topics: DataFrame) -> DataFrame:
+    return topics.select(
+        "topic",
+        "topic_ord",
+        "subcategory",
+        "category",
+        F.explode(F.array_distinct("keywords")).alias("word"),
     )
 
 
+def _most_voted(votes: DataFrame, key: str) -> DataFrame:
+    order = Window.partitionBy(key).orderBy(F.desc("votes"))
+    return votes.withColumn("_rank", F.rank().over(order)).filter("_rank = 1").drop("_rank")
+
+
 def topic_coverage(classified: DataFrame) -> DataFrame:
     """How many sites have topics, and several topics, subcategories, categories."""
     return classified.agg(
