@@ -37,7 +37,7 @@ WORDS = {
     "weights": """
         SELECT doc_id, lang, term, v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)) AS weight FROM raw_weights""",
     "cluster_shares": """
-        SELECT cluster, word, total / sum(total) OVER (PARTITION BY cluster) AS weight
+        SELECT cluster, word, total, total / sum(total) OVER (PARTITION BY cluster) AS weight
         FROM (SELECT lang AS cluster, term AS word, sum(weight) AS total FROM weights GROUP BY lang, term)""",
 }
 
@@ -218,7 +218,7 @@ def _(spark, sf):
 @query(
     "top_cluster_words",
     """SELECT cluster, word, round(weight, 6) AS weight, rank FROM (
-        SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(weight, 9) DESC, word) AS rank
+        SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(total, 9) DESC, word) AS rank
         FROM cluster_shares) WHERE rank <= 100""",
     WORDS,
 )

@@ -52,7 +52,7 @@ def cart_flags(tags: Column, html: Column) -> dict[str, Column]:
         | any_tag(
             tags,
             "div",
-            lambda t: F.array_contains(tokens_of(attr(t, "class")), "sitecore-link-wrapper"),
+            lambda t: has_token(t, "class", "sitecore-link-wrapper"),
         ),
         "Squarespace": any_tag(
             tags,

@@ -126,8 +126,7 @@ def tags_if(wanted: Column, blanked: Column) -> Column:
 def attr(tag: Column, name: str, keep: str = "last") -> Column:
     """Value of the tag's attribute, null if absent; repeats keep one end."""
     values = F.filter(tag["attrs"], lambda a: a["name"] == name)
-    at = F.size(values) - 1 if keep == "last" else F.lit(0)
-    return F.get(values, at)["value"]
+    return F.try_element_at(values, F.lit(-1 if keep == "last" else 1))["value"]
 
 
 def tokens_of(value: Column) -> Column:
@@ -136,9 +135,8 @@ def tokens_of(value: Column) -> Column:
 
 
 def has_token(tag: Column, name: str, token: str) -> Column:
-    """One part, or the whole, of a multi-valued attribute equals the token."""
-    value = attr(tag, name)
-    return F.array_contains(tokens_of(value), token) | (value == token)
+    """One part of a multi-valued attribute equals the token."""
+    return F.array_contains(tokens_of(attr(tag, name)), token)
 
 
 def attribute_rows(tag: Column) -> Column:

@@ -94,11 +94,14 @@ def align_to_seeds(sites: DataFrame, seeds: DataFrame, strict: bool = False) ->
     """One row per seed, with its site's columns or nulls; other sites vanish.
 
     Sites are named without ``www.``, so seeds are matched without it too.
-    ``strict`` matches them as written instead.
+    ``strict`` matches them as written instead. A seed first meets the chunk
+    numbers of its site only; the arrays then join by site and chunk, as they
+    are partitioned already.
     """
     name = F.col("netloc") if strict else urls.strip_www(F.col("netloc"))
     keyed = seeds.select("txt_line_num", "netloc", name.alias("website"))
-    return keyed.join(sites, "website", "left").select(
+    placed = keyed.join(sites.select("website", "chunk"), "website", "left")
+    return placed.join(sites, ["website", "chunk"], "left").select(
         "txt_line_num",
         F.col("netloc").alias("website"),
         *[c for c in sites.columns if c != "website"],

@@ -1,15 +1,32 @@
-"""Groups of bounded size for keys that hold a large share of all rows.
-
-Joins with one summary row per key need no help of this kind: adaptive
-execution splits the partition of a hot key and repeats the summary row, as
-long as ``spark.sql.adaptive.skewJoin.enabled`` keeps its default.
-"""
+"""Keys that hold a large share of all rows: split joins, bounded groups."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+def join_summary(
+    rows: DataFrame, summary: DataFrame, key: str, spread: str, salts: int = 1
+) -> DataFrame:
+    """Inner join of rows with one summary row per key, such that a hot key's
+    rows can be split over many tasks.
+
+    A summary comes out of its aggregation partitioned by the key. Joined on
+    the key alone it stays so, and adaptive execution, which only splits what
+    was shuffled for the join, must put all rows of a key into one task. The
+    salt as a second key has both sides shuffled for the join. Without adaptive
+    execution, ``salts`` splits each key by the hash of column ``spread`` and
+    repeats the summary as often.
+    """
+    salt = F.pmod(F.hash(spread), F.lit(salts))
+    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    return (
+        rows.withColumn("_salt", salt)
+        .join(summary.withColumn("_salt", every), [key, "_salt"])
+        .drop("_salt")
+    )
+
+
 def with_chunk(
     rows: DataFrame,
     key: str,

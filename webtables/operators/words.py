@@ -12,7 +12,7 @@ from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame, Window, functions as F
 
 from webtables.functions import text as X, urls
-from webtables.operators.skew import with_chunk
+from webtables.operators.skew import join_summary, with_chunk
 
 TEXT_LIMIT = 50_000_000
 TEXT_PAGES = 1000
@@ -158,11 +158,13 @@ def tf_idf(
     )
     n_docs = docs.agg(F.count_distinct(key).alias("n")).scalar()
     # Counting on n keeps both uses of counts the same, so that it runs once.
-    spread = counts.groupBy("word").agg(F.count_if(F.col("n") > 0).alias("df"))
+    found_in = counts.groupBy("word").agg(F.count_if(F.col("n") > 0).alias("df"))
     idf = F.log((1 + n_docs) / (1 + F.col("df"))) + 1
-    raw = counts.join(spread, "word").select("doc", "word", (F.col("n") * idf).alias("v"))
+    raw = join_summary(counts, found_in, "word", spread="doc").select(
+        "doc", "word", (F.col("n") * idf).alias("v")
+    )
     lengths = raw.groupBy("doc").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("length"))
-    return raw.join(lengths, "doc").select(
+    return join_summary(raw, lengths, "doc", spread="word").select(
         "doc", "word", (F.col("v") / F.col("length")).alias("weight")
     )
 
@@ -178,7 +180,7 @@ def mean_word_frequency(
     # Counting on n keeps both uses of counts the same, so that it runs once.
     sizes = counts.groupBy(key).agg(F.count_if(F.col("n") > 0).alias("n_distinct"))
     n_keys = sizes.agg(F.count(F.lit(1)).alias("n")).scalar()
-    share = without_stop_words(counts.join(sizes, key), stop_words)
+    share = without_stop_words(join_summary(counts, sizes, key, spread="word"), stop_words)
     return share.groupBy("word").agg(
         (F.sum(F.col("n") / F.col("n_distinct")) / n_keys).alias("mean_freq")
     )
