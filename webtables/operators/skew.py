@@ -18,7 +18,9 @@ def join_summary(
     execution, ``salts`` splits each key by the hash of column ``spread`` and
     repeats the summary as often.
     """
-    salt = F.pmod(F.hash(spread), F.lit(salts))
+    # Never null, or Spark would filter the rows for it and with that keep them
+    # from sharing an exchange with the summary.
+    salt = F.coalesce(F.pmod(F.hash(spread), F.lit(salts)), F.lit(0))
     every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     return (
         rows.withColumn("_salt", salt)

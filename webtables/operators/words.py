@@ -177,10 +177,18 @@ def mean_word_frequency(
     Keys without the word count as 0. Stop words add to a key's number of
     distinct words but get no row.
     """
-    # Counting on n keeps both uses of counts the same, so that it runs once.
+    # Counting on n, and telling stop words only after the sums, keeps all uses
+    # of counts the same, so that it runs once.
     sizes = counts.groupBy(key).agg(F.count_if(F.col("n") > 0).alias("n_distinct"))
-    n_keys = sizes.agg(F.count(F.lit(1)).alias("n")).scalar()
-    share = without_stop_words(join_summary(counts, sizes, key, spread="word"), stop_words)
-    return share.groupBy("word").agg(
-        (F.sum(F.col("n") / F.col("n_distinct")) / n_keys).alias("mean_freq")
+    n_keys = sizes.agg(F.count_if(F.col("n_distinct") > 0).alias("n")).scalar()
+    stops = default_stop_words() if stop_words is None else list(stop_words)
+    return (
+        join_summary(counts, sizes, key, spread="word")
+        .groupBy("word")
+        .agg(
+            F.sum(F.col("n") / F.col("n_distinct")).alias("_sum"),
+            F.bool_or(F.col("word").isin(*stops)).alias("_stop"),
+        )
+        .filter(~F.col("_stop"))
+        .select("word", (F.col("_sum") / n_keys).alias("mean_freq"))
     )
