@@ -133,7 +133,7 @@ def count_maps(counts: DataFrame, key: str, limit: int = 100_000) -> DataFrame:
     A key with more than ``limit`` words has several rows of disjoint maps.
     """
     spread = F.pmod(F.xxhash64("word"), F.lit(1 << 20))
-    chunked = with_chunk(counts, key, spread, limit=limit, width=1 << 10)
+    chunked = with_chunk(counts, key, spread, limit=limit, width=1 << 8)
     return chunked.groupBy(key, "chunk").agg(
         F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("counts")
     )
