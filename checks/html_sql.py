@@ -63,7 +63,7 @@ def joined_text(html: str, bodies: bool = False) -> str:
     )
 
 
-def html_ctes(source: str, needs: str = "*") -> dict[str, str]:
+def html_ctes(source: str) -> dict[str, str]:
     """Tables on top of a CTE or view with page_id, url and html."""
     wide = ", ".join(
         f"arg_max(value, apos) FILTER (attr = '{a}') AS {c}"
