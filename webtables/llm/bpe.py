@@ -24,10 +24,8 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from webtables.llm.common import CACHE_WORDS, extended, extended_schema, slices
+from webtables.llm.common import ENCODE_BYTES, ChunkIds, extended, extended_schema, slices
 
-#: Text bytes encoded at a time: the more, the fewer words are met again.
-ENCODE_BYTES = 16 << 20
 #: The pattern of byte-level BPE, as the vocabularies' package states
 #: it, with the white-space class spelled out.
 PATTERN = regex.compile(
@@ -96,7 +94,7 @@ class ByteBpe:
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)[order]
         self.added = {token: np.array([i], "<u4").tobytes() for token, i in added.items()}
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
-        self.chunks: dict[str, bytes] = {}
+        self.chunks = ChunkIds()
 
     def encode_words(self, words: list[bytes]) -> list[bytes]:
         """Ids of every word as little-endian 32-bit integers."""
@@ -145,28 +143,7 @@ class ByteBpe:
     def encode(self, texts: pa.Array) -> pa.Array:
         """Ids of every text as little-endian 32-bit integers, of null as none."""
         chunks, rows = split_texts(pc.fill_null(texts, ""), self.special)
-        coded = chunks.dictionary_encode()
-        index = coded.indices.to_numpy(zero_copy_only=False)
-        known = coded.dictionary.to_pylist()
-        ids: list[bytes | None] = [self.chunks.get(c) for c in known]
-        new = [i for i, x in enumerate(ids) if x is None]
-        for i, x in zip(new, self.encode_chunks([known[i] for i in new]), strict=True):
-            ids[i] = x
-        if len(self.chunks) > CACHE_WORDS:
-            self.chunks.clear()
-        seen = np.bincount(index, minlength=len(known))
-        self.chunks.update({known[i]: ids[i] for i in new if seen[i] > 1})
-        # Lay the chunks' ids out in the order of the texts.
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        size = np.array([len(x) // 4 for x in ids], np.int64)
-        start = np.cumsum(size) - size
-        size_of = size[index] if len(known) else np.zeros(0, np.int64)
-        ends = np.cumsum(size_of)
-        at = np.repeat(start[index] - ends + size_of, size_of) + np.arange(size_of.sum())
-        row_ends = np.concatenate([[0], ends])[rows]
-        offsets = pa.py_buffer((4 * row_ends).astype(np.int64))
-        out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, offsets, pa.py_buffer(flat[at])])
-        return out.cast(pa.binary())
+        return self.chunks.encode(chunks, rows, self.encode_chunks)
 
     def decode(self, ids: bytes) -> str:
         """The tokens' bytes as text; what is no UTF-8 becomes U+FFFD."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +17,10 @@ __all__ = ["materialise", "shared_folder"]
 
 #: Text bytes that a task holds as Python objects at a time; one longer text is held alone.
 SLICE_BYTES = 4 << 20
+#: Text bytes tokenized at a time: the more, the fewer words are met again.
+ENCODE_BYTES = 4 << 20
 #: Entries of a task's word caches, which are emptied when they are full.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +72,42 @@ class WordHashes(dict):
         return value
 
 
+class ChunkIds:
+    """Token ids of texts that are cut into chunks, each distinct chunk encoded once.
+
+    Chunks that a slice of the data holds more than once are kept for later slices.
+    """
+
+    def __init__(self) -> None:
+        self.known: dict[str, bytes] = {}
+
+    def encode(
+        self, chunks: pa.Array, rows: np.ndarray, encode_new: Callable[[list[str]], list[bytes]]
+    ) -> pa.Array:
+        """Little-endian 32-bit ids of every row; row i has the chunks rows[i] to rows[i + 1]."""
+        coded = chunks.dictionary_encode()
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        distinct = coded.dictionary.to_pylist()
+        ids = [self.known.get(c) for c in distinct]
+        new = [i for i, x in enumerate(ids) if x is None]
+        for i, x in zip(new, encode_new([distinct[i] for i in new]), strict=True):
+            ids[i] = x
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        seen = np.bincount(index, minlength=len(distinct))
+        self.known.update({distinct[i]: ids[i] for i in new if seen[i] > 1})
+        # Lay the chunks' ids out in the order of the rows.
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        start = np.cumsum(size) - size
+        size_of = size[index]
+        ends = np.cumsum(size_of)
+        at = np.repeat(start[index] - ends + size_of, size_of) + np.arange(size_of.sum())
+        offsets = (4 * np.concatenate([[0], ends])[rows]).astype(np.int64)
+        buffers = [None, pa.py_buffer(offsets), pa.py_buffer(flat[at])]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(rows) - 1, buffers).cast(pa.binary())
+
+
 #: Lower-cases A-Z and turns every ASCII byte that is no letter or digit into a space.
 WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32

@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from webtables.llm import bpe
-from webtables.llm.common import table
+from webtables.llm import bpe, simple8b
+from webtables.llm.common import shared_folder, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -18,8 +18,13 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op2_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simple8b.round_trip(table(spark, sf_dir, "documents"), WORD_BPE, shared_folder(spark))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_simple8b": op2_simple8b,
 }
 
 SQL: dict[str, str] = {}
