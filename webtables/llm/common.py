@@ -32,9 +32,9 @@ def shuffle_tasks(spark: SparkSession) -> int:
 
 
 def slices(
-    batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES
+    batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES, rows: int = 2048
 ) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that a slice holds about ``limit`` bytes of a column."""
+    """Cut record batches so that a slice has few rows and about ``limit`` bytes of a column."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -44,6 +44,7 @@ def slices(
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
+            stop = min(stop, start + rows)
             yield batch.slice(start, stop - start)
             start = stop
 
