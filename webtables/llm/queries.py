@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from webtables.llm import bagminhash, bpe, decontaminate, simple8b
+from webtables.llm import bagminhash, bpe, decontaminate, langmask, ordinal, simple8b
 from webtables.llm.common import shared_folder, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -22,6 +22,10 @@ def op2_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.round_trip(table(spark, sf_dir, "documents"), WORD_BPE, shared_folder(spark))
 
 
+def op4_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordinal.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -30,11 +34,17 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_langmask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langmask.languages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_simple8b": op2_simple8b,
+    "op4_ordinal": op4_ordinal,
     "op5_bagminhash": op5_bagminhash,
     "op6_decontaminate": op6_decontaminate,
+    "op10_langmask": op10_langmask,
 }
 
 SQL: dict[str, str] = {
