@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from webtables.llm import bagminhash, bpe, decontaminate, langmask, ordinal, simple8b
+from webtables.llm import bagminhash, bpe, chat, decontaminate, langmask, lengths, multiset, ordinal, simple8b
 from webtables.llm.common import shared_folder, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -22,6 +22,10 @@ def op2_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.round_trip(table(spark, sf_dir, "documents"), WORD_BPE, shared_folder(spark))
 
 
+def op3_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op4_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -34,6 +38,14 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rendered(table(spark, sf_dir, "conversations"))
+
+
+def op8_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lengths.context_limits(lengths.histogram(table(spark, sf_dir, "documents"), BYTE_BPE))
+
+
 def op10_langmask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langmask.languages(table(spark, sf_dir, "documents"))
 
@@ -41,9 +53,12 @@ def op10_langmask(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_simple8b": op2_simple8b,
+    "op3_multiset": op3_multiset,
     "op4_ordinal": op4_ordinal,
     "op5_bagminhash": op5_bagminhash,
     "op6_decontaminate": op6_decontaminate,
+    "op7_chat": op7_chat,
+    "op8_lengths": op8_lengths,
     "op10_langmask": op10_langmask,
 }
 
@@ -77,4 +92,19 @@ SQL: dict[str, str] = {
             coalesce(n_hit, 0) > 0 AS contaminated
         FROM docs LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
     """,
+    "op7_chat": """
+        WITH turns AS (
+            SELECT conv_id, coalesce(CAST(conv_id AS VARCHAR), 'null') AS k, role, text,
+                row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS p
+            FROM conversations),
+        logs AS (SELECT conv_id, k, count(*) AS n, list({'r': role, 't': text} ORDER BY p) AS said FROM turns GROUP BY conv_id, k),
+        kept AS (
+            SELECT * FROM logs AS a WHERE NOT EXISTS (
+                SELECT 1 FROM logs AS b
+                WHERE b.n >= a.n AND b.said[1] = a.said[1] AND b.said[1:a.n] = a.said
+                    AND (b.n > a.n OR b.conv_id < a.conv_id OR (a.conv_id IS NULL AND b.conv_id IS NOT NULL))))
+        SELECT t.conv_id, (p - 1) // 64 AS part, n AS n_turns,
+            string_agg('<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), '' ORDER BY p) AS text
+        FROM turns AS t JOIN kept USING (k) GROUP BY t.conv_id, part, n
+    """,
 }
