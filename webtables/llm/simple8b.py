@@ -238,7 +238,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     totals = segments.groupBy("part").agg(F.sum("n_ids").alias("_n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
-    placed = segments.join(totals.select("part", offset), "part").select(
+    # One row per writing task, so the totals may be broadcast.
+    placed = segments.join(F.broadcast(totals.select("part", offset)), "part").select(
         (F.col("_offset") + F.col("part_start")).alias("start"),
         "n_ids", "doc_ids", "lengths", "offsets", "words",
     )
