@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +74,22 @@ class WordHashes(dict):
         return value
 
 
+def filtered(
+    documents: DataFrame,
+    passes: Callable[[list[str | None], Any], np.ndarray],
+    cache: Callable[[], Any],
+    column: str = "text",
+) -> DataFrame:
+    """The rows, with their columns as they are, whose text passes; a task has one cache."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = cache()
+        for part in slices(batches, column):
+            yield part.filter(pa.array(passes(part[column].to_pylist(), own), pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 class ChunkIds:
     """Token ids of texts that are cut into chunks, each distinct chunk encoded once.
 

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from webtables.llm.common import WORD_BYTES, clean_words, extended, extended_schema, slices
+from webtables.llm.common import WORD_BYTES, clean_words, extended, extended_schema, filtered, slices
 
 WINDOW = 10
 #: Benchmark text per automaton; a word takes about 100 bytes in it.
@@ -196,3 +196,20 @@ def report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
+
+
+def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents, with their columns as they are, that hold no window of any item."""
+    for items in blocks(benchmark):
+        documents = _unhit(documents, items)
+    return documents
+
+
+def _unhit(documents: DataFrame, items: list[tuple[str, str]]) -> DataFrame:
+    shared = documents.sparkSession.sparkContext.broadcast(tuple(items))
+
+    def passes(texts: list[str | None], _: object) -> np.ndarray:
+        windows = _automaton(shared.value, WINDOW)
+        return np.array([not windows.scan(clean_words(t))[0] for t in texts], bool)
+
+    return filtered(documents, passes, object)

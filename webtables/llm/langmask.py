@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from webtables.llm.common import extended, extended_schema, mix, slices
+from webtables.llm.common import extended, extended_schema, filtered, mix, slices
 
 LENGTHS = (1, 2, 3, 4)
 #: A language holds at most 1 / MIN_SHARE n-grams, which bounds the model's size.
@@ -37,6 +37,8 @@ SLOTS_PER_GRAM = 16
 #: Distinct n-grams that a task counts before it passes them on.
 HELD_GRAMS = 1 << 20
 UNDETERMINED = "und"
+#: The share of n-grams that a language must hold for a document to stay in it.
+LEAST_SCORE = 0.3
 
 
 @functools.cache
@@ -203,3 +205,14 @@ def languages(documents: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, lang_pred, score."""
     texts = documents.select("doc_id", held_out().alias("held_out"), "text")
     return identified(texts, learn_from(documents)).drop("text")
+
+
+def recognised(documents: DataFrame, filters: Filters, least: float = LEAST_SCORE) -> DataFrame:
+    """The documents, with their columns as they are, whose language is told with at least this score."""
+    shared = documents.sparkSession.sparkContext.broadcast(filters)
+
+    def passes(texts: list[str | None], _: object) -> np.ndarray:
+        names, score = shared.value.predict(texts)
+        return (np.array(names, object) != UNDETERMINED) & (score >= least)
+
+    return filtered(documents, passes, object)

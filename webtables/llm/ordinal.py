@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from webtables.llm.common import CACHE_WORDS, extended, extended_schema, slices, words_of
+from webtables.llm.common import CACHE_WORDS, extended, extended_schema, filtered, slices, words_of
 
 #: Features are hashed into so many weights (1 MB, the size of the broadcast model).
 DIMENSION = 1 << 18
@@ -192,3 +192,13 @@ def quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document: doc_id, expected_grade, tail, selected."""
     texts = documents.select("doc_id", "text")
     return scored(texts, train(texts, labels)).drop("text")
+
+
+def select(documents: DataFrame, model: Model, least: float = SELECT) -> DataFrame:
+    """The documents, with their columns as they are, whose tail probability is at least ``least``."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def passes(texts: list[str | None], cache: FeatureCache) -> np.ndarray:
+        return shared.value.above(score(shared.value, *features(texts, cache)))[:, -1] >= least
+
+    return filtered(documents, passes, FeatureCache)
