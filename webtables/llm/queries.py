@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from webtables.llm import bagminhash, bpe, chat, decontaminate, langmask, lengths, multiset, ordinal, simple8b
+from webtables.llm import bagminhash, bpe, chat, decontaminate, langmask, lengths, multiset, ordinal, simple8b, wrappers
 from webtables.llm.common import shared_folder, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -47,6 +47,10 @@ def op8_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.context_limits(lengths.histogram(table(spark, sf_dir, "documents"), BYTE_BPE))
 
 
+def op9_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_langmask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langmask.languages(table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontaminate": op6_decontaminate,
     "op7_chat": op7_chat,
     "op8_lengths": op8_lengths,
+    "op9_wrappers": op9_wrappers,
     "op10_langmask": op10_langmask,
 }
 
