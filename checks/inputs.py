@@ -206,22 +206,43 @@ def sitemaps(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# Added to the number of a page, or of an error, that comes again later.
+LATER = 1_000_000
+
+
+def _never_captured(url: Column) -> Column:
+    return F.replace(url, F.lit("://"), F.lit("://gone."))
+
+
 def truth(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages").select("url", F.split(pick(LABELS), "[|]").alias("actual"))
+    """A label for every page's URL, and for some URLs that were never captured."""
+    url, labels = F.col("url"), F.split(pick(LABELS), "[|]").alias("actual")
+    source = table(spark, sf, "pages")
+    gone = source.filter("page_id % 7 = 3").select(_never_captured(url).alias("url"), labels)
+    return source.select("url", labels).union(gone)
 
 
 def captured_sites(spark: SparkSession, sf: str) -> DataFrame:
-    """Shop pages under their own URLs; French ones were never captured."""
-    shown = F.concat("html", pick(PIECES)).alias("html")
-    return pages(spark, sf).filter(~F.col("url").contains("/fr/")).select("url", shown)
+    """All pages under their own URLs, some captured again with another piece of HTML."""
+    again = F.when(F.col("page_id") % 9 == 4, F.array(F.lit(0), F.lit(LATER))).otherwise(F.array(F.lit(0)))
+    captures = pages(spark, sf).withColumn("later", F.explode(again))
+    numbered = captures.select((F.col("page_id") + F.col("later")).alias("page_id"), "url", "html")
+    return numbered.withColumn("html", F.concat("html", pick(PIECES)))
 
 
 def errors(spark: SparkSession, sf: str) -> DataFrame:
-    url = F.col("url")
+    """Capture errors in order, some URLs with two and those never captured with one."""
+    url, ordinal = F.col("url"), F.col("page_id")
+    source = table(spark, sf, "pages").select("url", "page_id")
     error = F.when(url.contains("/fr/"), "ConnectTimeout").when(url.contains("/m."), "SSLError")
-    return (
-        table(spark, sf, "pages").select("url", error.alias("error")).filter("error is not null")
+    first = source.select("url", error.alias("error"), ordinal.alias("ord")).filter("error is not null")
+    second = source.filter("page_id % 5 = 1 and (contains(url, '/fr/') or contains(url, '/m.'))").select(
+        "url", F.lit("ReadTimeout").alias("error"), (ordinal + LATER).alias("ord")
+    )
+    gone = source.filter("page_id % 7 = 3").select(
+        _never_captured(url).alias("url"), F.lit("DNSLookupError").alias("error"), ordinal.alias("ord")
     )
+    return first.union(second).union(gone)
 
 
 def blocked(spark: SparkSession, sf: str) -> DataFrame:
@@ -283,13 +304,19 @@ CTES = {
                WHEN 2 THEN '<urlset>' || {_URLSET} || '</urlset>'
                ELSE '<html><loc>no</loc></html>' END AS body
         FROM pages""",
-    "truth": f"SELECT url, string_split({_sql_pick(LABELS)}, '|') AS actual FROM pages",
+    "truth": f"""
+        SELECT url, string_split({_sql_pick(LABELS)}, '|') AS actual FROM pages
+        UNION ALL SELECT replace(url, '://', '://gone.'), string_split({_sql_pick(LABELS)}, '|') FROM pages WHERE page_id % 7 = 3""",
     "sites": f"""
         SELECT page_id, url, html || {_sql_pick(PIECES)} AS html
-        FROM pages WHERE NOT contains(url, '/fr/')""",
-    "errors": """
+        FROM (SELECT page_id, url, html FROM pages
+              UNION ALL SELECT page_id + {LATER}, url, html FROM pages WHERE page_id % 9 = 4)""",
+    "errors": f"""
         SELECT * FROM (SELECT url, CASE WHEN contains(url, '/fr/') THEN 'ConnectTimeout'
-                                   WHEN contains(url, '/m.') THEN 'SSLError' END AS error FROM pages)
-        WHERE error IS NOT NULL""",
+                                   WHEN contains(url, '/m.') THEN 'SSLError' END AS error, page_id AS ord FROM pages)
+        WHERE error IS NOT NULL
+        UNION ALL SELECT url, 'ReadTimeout', page_id + {LATER} FROM pages
+        WHERE page_id % 5 = 1 AND (contains(url, '/fr/') OR contains(url, '/m.'))
+        UNION ALL SELECT replace(url, '://', '://gone.'), 'DNSLookupError', page_id FROM pages WHERE page_id % 7 = 3""",
     "blocked": "SELECT url FROM pages WHERE regexp_matches(url, '/ads-track[.]|/m[.]th')",
 }

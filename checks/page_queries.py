@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from checks import inputs
@@ -92,6 +94,17 @@ def _(spark, sf):
     return frontier.seed_slice(inputs.seeds(spark, sf), 4)
 
 
+@query(
+    "bounded_seed_slice",
+    """SELECT txt_line_num, netloc, 'https://' || netloc AS homepage FROM seeds
+    WHERE txt_line_num >= 4 AND txt_line_num < (SELECT max(txt_line_num) FROM seeds) // 2""",
+)
+def _(spark, sf):
+    seeds = inputs.seeds(spark, sf)
+    half = seeds.agg(F.floor(F.max("txt_line_num") / 2).alias("half")).first()["half"]
+    return frontier.seed_slice(seeds, 4, half)
+
+
 @query(
     "start_requests",
     """SELECT txt_line_num, 'https://' || netloc AS homepage, kind, 'https://' || netloc || coalesce(suffix, '') AS url, suffix
@@ -222,6 +235,24 @@ def _(spark, sf):
     )
 
 
+# Spark has no normal forms and DuckDB only NFC, so the query takes apart what
+# the given texts hold of composed characters, and the SQL puts it together again.
+@query(
+    "normalised_page_texts",
+    "SELECT page_id, md5(nfc_normalize(replace(text, chr(160), ' '))) AS text_md5, length(text) AS n_composed FROM texts",
+    SHOP,
+)
+def _(spark, sf):
+    apart = P.page_texts(inputs.shop_pages(spark, sf), normalise=True)
+    together = F.col("text")
+    for mark in ("\u0300", "\u0301", "\u0302", "\u0303", "\u0308", "\u0327"):
+        for letter in "aeiouncAEIOUNC":
+            whole = unicodedata.normalize("NFC", letter + mark)
+            if len(whole) == 1:
+                together = F.replace(together, F.lit(letter + mark), F.lit(whole))
+    return apart.select("page_id", F.md5(together).alias("text_md5"), F.length(together).alias("n_composed"))
+
+
 _RECORDS = {
     **SHOP,
     "hosted": """
@@ -373,13 +404,17 @@ def _(spark, sf):
 @query(
     "card_evidence_counts",
     """SELECT count(*) FILTER (add_to_cart) AS add_to_cart, count(*) FILTER (payment_link) AS payment_link,
-        count(*) FILTER (payment_item) AS payment_item FROM flags""",
+        count(*) FILTER (payment_item) AS payment_item FROM flags WHERE page_id NOT IN (
+            SELECT page_id FROM pages WHERE url IN (SELECT url FROM errors))""",
     SHOP,
 )
 def _(spark, sf):
     from webtables.operators.evaluate import evidence_counts
 
-    return evidence_counts(inputs.shop_pages(spark, sf))
+    # Pages carry pieces by their number here, and errors are by the URLs they were given.
+    given = inputs.table(spark, sf, "pages").select("page_id", "url")
+    pages = inputs.shop_pages(spark, sf).drop("url").join(given, "page_id")
+    return evidence_counts(pages, inputs.errors(spark, sf))
 
 
 # --------------------------------------------------------------- roll-up
@@ -400,12 +435,15 @@ _ROLLUP = {
         FROM (SELECT website, page_id, unnest([{", ".join(f"'{f}'" for f in _FIELDS)}]) AS field,
                      unnest([{", ".join(_as_value(f) for f in _FIELDS)}]) AS value FROM records)
         WHERE value <> '' AND website <> '' GROUP BY website, field, value""",
-    "site_rows": "SELECT website, 0 AS chunk, "
+    "site_parts": """
+        SELECT *, ((row_number() OVER (PARTITION BY website ORDER BY first_ord, field, value) - 1) // 50)::INT AS part
+        FROM site_vals""",
+    "site_rows": "SELECT website, part, "
     + ", ".join(
         f"coalesce(array_to_string(list(value ORDER BY first_ord) FILTER (field = '{f}'), ' ; '), '') AS {f}"
         for f in _FIELDS
     )
-    + " FROM site_vals GROUP BY website",
+    + " FROM site_parts GROUP BY website, part",
 }
 
 
@@ -413,8 +451,17 @@ def _records(spark: SparkSession, sf: str) -> DataFrame:
     return P.page_records(inputs.shop_pages(spark, sf), inputs.fetch_log(spark, sf))
 
 
+def _shown(column: str, kind: str) -> Column:
+    """A typed array as one text, lists in it as JSON."""
+    nested = kind.startswith("array<array")
+    return F.array_join(
+        F.transform(column, lambda v: F.to_json(v) if nested else v.cast("string")), " ; "
+    )
+
+
 def _lists_joined(sites: DataFrame) -> DataFrame:
-    return sites.withColumns({f: F.array_join(f, " ; ") for f in _FIELDS})
+    kinds = dict(sites.dtypes)
+    return sites.withColumns({f: _shown(f, kinds[f]) for f in _FIELDS})
 
 
 @query("site_values", "SELECT website, field, value, first_ord FROM site_vals", _ROLLUP)
@@ -424,7 +471,7 @@ def _(spark, sf):
 
 @query("site_table", "SELECT * FROM site_rows", _ROLLUP)
 def _(spark, sf):
-    return _lists_joined(rollup.site_table(_records(spark, sf), _FIELDS))
+    return _lists_joined(rollup.site_table(_records(spark, sf), _FIELDS, limit=50))
 
 
 _ALIGNED = "seeds LEFT JOIN site_rows ON replace(netloc, 'www.', '') = website"
@@ -432,40 +479,45 @@ _ALIGNED = "seeds LEFT JOIN site_rows ON replace(netloc, 'www.', '') = website"
 
 @query(
     "sites_by_seed",
-    f"SELECT txt_line_num, netloc AS website, chunk, {', '.join(_FIELDS)} FROM {_ALIGNED}",
+    f"SELECT txt_line_num, netloc AS website, part, {', '.join(_FIELDS)} FROM {_ALIGNED}",
     _ROLLUP,
 )
 def _(spark, sf):
-    sites = rollup.site_table(_records(spark, sf), _FIELDS)
+    sites = rollup.site_table(_records(spark, sf), _FIELDS, limit=50)
     return _lists_joined(rollup.align_to_seeds(sites, inputs.seeds(spark, sf)))
 
 
 @query(
     "sites_by_seed_strict",
-    "SELECT txt_line_num, netloc AS website, url FROM seeds LEFT JOIN site_rows ON netloc = website",
+    """SELECT txt_line_num, netloc AS website, part, coalesce(url, '') AS url FROM seeds LEFT JOIN (
+        SELECT website, part, string_agg(value, ' ; ' ORDER BY first_ord) AS url FROM (
+            SELECT *, ((row_number() OVER (PARTITION BY website ORDER BY first_ord, value) - 1) // 50)::INT AS part
+            FROM site_vals WHERE field = 'url') GROUP BY website, part) ON netloc = website""",
     _ROLLUP,
 )
 def _(spark, sf):
-    sites = rollup.site_table(_records(spark, sf), ["url"])
+    sites = rollup.site_table(_records(spark, sf), ["url"], limit=50)
     aligned = rollup.align_to_seeds(sites, inputs.seeds(spark, sf), strict=True)
-    return aligned.select("txt_line_num", "website", F.array_join("url", " ; ").alias("url"))
+    url = F.coalesce(F.array_join("url", " ; "), F.lit(""))
+    return aligned.select("txt_line_num", "website", "part", url.alias("url"))
 
 
 @query(
     "grouped_sites",
-    f"SELECT txt_line_num, chunk, netloc AS website, {', '.join(_FIELDS)} FROM {_ALIGNED}",
+    f"SELECT txt_line_num, part, netloc AS website, {', '.join(_FIELDS)} FROM {_ALIGNED}",
     _ROLLUP,
 )
 def _(spark, sf):
     from webtables.plans.jobs import website_table
 
     grouped = website_table(
-        inputs.shop_pages(spark, sf), inputs.seeds(spark, sf), inputs.fetch_log(spark, sf)
+        inputs.shop_pages(spark, sf), inputs.seeds(spark, sf), inputs.fetch_log(spark, sf), limit=50
     )
     place = {f: group for group, fields in rollup.FIELD_GROUPS.items() for f in fields}
-    return grouped.select(
+    flat = grouped.select(
         "txt_line_num",
-        "chunk",
+        "part",
         "General.website",
-        *[F.array_join(f"{place[f]}.{f}", " ; ").alias(f) for f in _FIELDS],
+        *[F.col(f"{place[f]}.{f}").alias(f) for f in _FIELDS],
     )
+    return _lists_joined(flat)

@@ -20,13 +20,15 @@ SCORES = {
     **html_ctes("sites"),
     "failed": """
         SELECT url, CASE WHEN b.url IS NOT NULL THEN 'robotblock' ELSE error END AS error
-        FROM errors FULL OUTER JOIN blocked b USING (url)""",
+        FROM (SELECT url, arg_max(error, ord) AS error FROM errors GROUP BY url)
+        FULL OUTER JOIN (SELECT DISTINCT url FROM blocked) b USING (url)""",
+    "last_carts": "SELECT * FROM carts QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id DESC) = 1",
     "scored": f"""
         SELECT {_NAME} AS name, url, actual, coalesce(cart_software, []) AS pred,
                CASE WHEN actual <> ['?'] THEN actual = coalesce(cart_software, []) END AS correct,
                CASE WHEN actual <> ['?'] THEN list_has_any(actual, coalesce(cart_software, [])) END AS partial,
                coalesce(error, '') AS error
-        FROM truth LEFT JOIN (SELECT url, cart_software FROM carts) USING (url) LEFT JOIN failed USING (url)""",
+        FROM truth LEFT JOIN (SELECT url, cart_software FROM last_carts) USING (url) LEFT JOIN failed USING (url)""",
     "vocabulary": "SELECT DISTINCT unnest(actual) AS label FROM truth",
     "performance": """
         SELECT label, count(*) FILTER (list_contains(actual, label)) AS labelled,
@@ -36,7 +38,7 @@ SCORES = {
     "card": f"""
         SELECT {_NAME} AS name, url, coalesce(CASE WHEN error IS NULL THEN has_card END, false) AS has_card,
                coalesce(CASE WHEN error IS NULL THEN payment_systems END, []) AS payment_names
-        FROM truth LEFT JOIN (SELECT url, has_card, payment_systems FROM carts) USING (url)
+        FROM truth LEFT JOIN (SELECT url, has_card, payment_systems FROM last_carts) USING (url)
         LEFT JOIN failed USING (url)""",
     "both_tables": "SELECT * FROM scored JOIN card USING (name, url)",
 }
@@ -51,7 +53,7 @@ def _flat(table: DataFrame) -> DataFrame:
 
 
 def _errors(spark: SparkSession, sf: str) -> DataFrame:
-    return E.error_table(inputs.errors(spark, sf), inputs.blocked(spark, sf))
+    return E.error_table(inputs.errors(spark, sf), inputs.blocked(spark, sf), "ord")
 
 
 def _results(spark: SparkSession, sf: str) -> DataFrame:
@@ -60,16 +62,16 @@ def _results(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _card(spark: SparkSession, sf: str) -> DataFrame:
-    return E.card_table(
-        inputs.truth(spark, sf), inputs.captured_sites(spark, sf), _errors(spark, sf)
-    )
+    found = E.detector_table(inputs.captured_sites(spark, sf))
+    return E.card_table(inputs.truth(spark, sf), found, _errors(spark, sf))
 
 
 def _both(spark: SparkSession, sf: str) -> DataFrame:
-    return E.results_with_card(_results(spark, sf), _card(spark, sf))
+    found = E.detector_table(inputs.captured_sites(spark, sf))
+    return E.site_scores(inputs.truth(spark, sf), found, _errors(spark, sf))
 
 
-@query("predictions", f"SELECT url, {sql_joined('cart_software')} AS pred FROM carts", SCORES)
+@query("predictions", f"SELECT url, {sql_joined('cart_software')} AS pred FROM last_carts", SCORES)
 def _(spark, sf):
     return _flat(E.predictions(inputs.captured_sites(spark, sf)))
 

@@ -93,12 +93,14 @@ def _(spark, sf):
 
 @query(
     "joined_texts",
-    """SELECT source, 0 AS chunk, md5(string_agg(text, ' | ' ORDER BY doc_id)) AS text_md5
-    FROM documents GROUP BY source""",
+    """SELECT source, part, md5(string_agg(text, ' | ' ORDER BY doc_id)) AS text_md5
+    FROM (SELECT *, (coalesce(sum(length(text)) OVER (
+              PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 50000)::INT AS part
+          FROM documents) GROUP BY source, part""",
 )
 def _(spark, sf):
-    whole = W.joined_texts(documents(spark, sf), "source", "doc_id")
-    return whole.select("source", "chunk", F.md5("text").alias("text_md5"))
+    parts = W.joined_texts(documents(spark, sf), "source", "doc_id", limit=50_000)
+    return parts.select("source", "part", F.md5("text").alias("text_md5"))
 
 
 @query("word_tokens", "SELECT doc_id, pos, word FROM doc_words", WORDS)
@@ -115,15 +117,17 @@ def _(spark, sf):
 
 @query(
     "word_count_maps",
-    "SELECT source, 0 AS chunk, count(*) AS n_words, sum(n)::BIGINT AS total FROM source_counts GROUP BY source",
+    """SELECT source, part, count(*) AS n_words, sum(n)::BIGINT AS total
+    FROM (SELECT *, ((row_number() OVER (PARTITION BY source ORDER BY word) - 1) // 1000)::INT AS part FROM source_counts)
+    GROUP BY source, part""",
     WORDS,
 )
 def _(spark, sf):
-    maps = W.count_maps(W.word_counts(documents(spark, sf), "source"), "source")
+    maps = W.count_maps(W.word_counts(documents(spark, sf), "source"), "source", limit=1000)
     values = F.map_values("counts")
     return maps.select(
         "source",
-        "chunk",
+        "part",
         F.size("counts").cast("bigint").alias("n_words"),
         F.aggregate(values, F.lit(0).cast("bigint"), lambda a, n: a + n).alias("total"),
     )
@@ -330,17 +334,19 @@ def _(spark, sf):
 
 @query(
     "unmapped_topics",
-    """SELECT topic, topic_ord, lang, count(*) AS n_docs FROM taxonomy, documents
-    WHERE keywords IS NULL GROUP BY topic, topic_ord, lang""",
+    """SELECT topic, topic_ord, count(doc_id) AS n_docs
+    FROM (SELECT topic, topic_ord, unnest(CASE WHEN keywords IS NULL THEN string_split(lower(topic), ' ') END) AS word
+          FROM taxonomy WHERE keywords IS NULL)
+    LEFT JOIN (SELECT DISTINCT doc_id, word FROM doc_words) USING (word)
+    GROUP BY topic, topic_ord""",
     TOPICS,
 )
 def _(spark, sf):
-    languages = (
-        table(spark, sf, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"))
-    )
     unmapped = K.unmapped_topics(K.taxonomy(spark, KEYWORDS))
-    listed = unmapped.agg(F.collect_list(F.struct("topic", "topic_ord")).alias("t")).scalar()
-    return languages.select(F.inline(listed), "lang", "n_docs")
+    words = unmapped.withColumn("word", F.explode(F.split(F.lower("topic"), " ")))
+    held = documents(spark, sf).select("doc_id", F.explode(F.array_distinct(X.words(F.col("text")))).alias("word"))
+    found = words.join(held, "word", "left")
+    return found.groupBy("topic", "topic_ord").agg(F.count("doc_id").alias("n_docs"))
 
 
 @query("document_keywords", "SELECT doc_id, word FROM doc_top", TOPICS)

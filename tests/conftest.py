@@ -11,10 +11,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 def spark():
     from webtables.sources.session import local_session
 
-    session = local_session()
-    if session.conf.get("spark.checkpoint.dir", None) is None:
-        session.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="webtables-test-"))
-    yield session
+    yield local_session()
 
 
 @pytest.fixture

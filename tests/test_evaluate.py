@@ -98,4 +98,21 @@ def test_whole_job(spark, tables):
     empty = {r["name"] for r in E.nothing_detected(joined).collect()}
     assert empty == {"same", "part", "unknown", "missing", "blocked"}
     assert {r["name"] for r in E.with_card(joined).collect()} == {"order"}
-    assert E.evidence_counts(pages).first().asDict() == {"add_to_cart": 2, "payment_link": 0, "payment_item": 0}
+    none = errors.limit(0)
+    assert E.evidence_counts(pages, none).first().asDict() == {"add_to_cart": 2, "payment_link": 0, "payment_item": 0}
+    failed = E.error_table(errors, blocked)
+    assert E.evidence_counts(pages, failed).first()["add_to_cart"] == 1
+
+
+def test_the_last_capture_and_error_count(spark):
+    truth = spark.createDataFrame([("https://a.nz/", ["nosto"])], "url string, actual array<string>")
+    pages = spark.createDataFrame(
+        [(2, "https://a.nz/", "<span class=nosto_cart>"), (1, "https://a.nz/", "<p>addtocart Visa</p>")],
+        "page_id bigint, url string, html string",
+    )
+    errors = spark.createDataFrame(
+        [("https://a.nz/", "new", 9), ("https://a.nz/", "old", 1)], "url string, error string, ord int"
+    )
+    failed = E.error_table(errors, errors.limit(0).select("url"), "ord")
+    rows = E.site_scores(truth, E.detector_table(pages), failed).collect()
+    assert [(r["pred"], r["correct"], r["error"], r["has_card"]) for r in rows] == [(["nosto"], True, "new", False)]

@@ -33,9 +33,9 @@ def test_site_table(crawl):
     a = rows["a.nz"]
     assert a["url"] == ["u1", "u2", "u3"]
     assert a["title"] == ["t"]
-    assert a["social_links"] == ['["x","y"]']
-    assert a["copyright"] == ['["a","b"]', '["b","a"]']
-    assert a["status_code"] == ["404", "200"]
+    assert a["social_links"] == [["x", "y"]]
+    assert a["copyright"] == [["a", "b"], ["b", "a"]]
+    assert a["status_code"] == [404, 200]
     assert [rows["b.nz"][f] for f in FIELDS] == [[]] * 5
 
 
@@ -46,20 +46,23 @@ def test_a_large_site_is_cut_and_whole(spark):
         F.concat(F.lit("u"), "id").alias("url"),
     )
     rows = rollup.site_table(records, ["url"], limit=500).collect()
-    big = sorted((r for r in rows if r["website"] == "big"), key=lambda r: r["chunk"])
+    big = sorted((r for r in rows if r["website"] == "big"), key=lambda r: r["part"])
     assert len(big) > 1 and all(len(r["url"]) <= 500 for r in big)
     assert [u for r in big for u in r["url"]] == [f"u{i}" for i in range(5000) if i % 10 < 8]
     small = [r for r in rows if r["website"] != "big"]
-    assert {r["chunk"] for r in small} == {0}
+    assert {r["part"] for r in small} == {0}
     assert sum(len(r["url"]) for r in rows) == 5000
 
 
-def test_chunks_by_size(spark):
-    rows = spark.createDataFrame([("a", i, "x" * 10) for i in range(20)] + [("b", 1, "x")], "k string, i bigint, t string")
-    got = skew.with_chunk(rows, "k", F.col("i"), size=F.length("t"), limit=100, width=7).collect()
-    assert {(r["i"] // 7 + 1) for r in got if r["k"] == "a"} == {r["chunk"] for r in got if r["k"] == "a"}
-    assert [r["chunk"] for r in got if r["k"] == "b"] == [0]
-    assert len(got) == 21
+@pytest.mark.parametrize("step", [1, 10**6, 2**55])
+def test_parts_by_size(spark, step):
+    sizes = [3, 0, 7, 20, 1, 1, 1, 9] * 5
+    rows = spark.createDataFrame([("a", i * step, "x" * n) for i, n in enumerate(sizes)] + [("b", 1, "x"), (None, 1, "y")], "k string, i bigint, t string")
+    got = skew.with_part(rows, "k", ["i"], 10, F.length("t")).collect()
+    assert len(got) == 42
+    begin = [sum(sizes[:i]) for i in range(len(sizes))]
+    assert {r["i"] // step: r["part"] for r in got if r["k"] == "a"} == {i: b // 10 for i, b in enumerate(begin)}
+    assert {r["part"] for r in got if r["k"] != "a"} == {0}
 
 
 def test_align_to_seeds(spark, crawl):
@@ -88,10 +91,10 @@ def test_website_table_groups(spark):
     )
     seeds = spark.createDataFrame([(4, "a.nz")], "txt_line_num bigint, netloc string")
     table = website_table(pages, seeds)
-    assert table.columns == ["txt_line_num", "chunk", *rollup.FIELD_GROUPS]
+    assert table.columns == ["txt_line_num", "part", *rollup.FIELD_GROUPS]
     row = table.first()
     assert row["General"]["title"] == ["t"] and row["General"]["website"] == "a.nz"
-    assert row["eCommerce"]["payment_systems"] == ['["visa"]']
+    assert row["eCommerce"]["payment_systems"] == [["visa"]]
     assert row["Other"]["test"] == []
     covered = {f for fields in rollup.FIELD_GROUPS.values() for f in fields}
     assert set(page_records(pages).columns) - {"page_id", "page_type"} == covered

@@ -51,8 +51,8 @@ def test_joined_texts_of_a_large_site_are_cut_and_whole(spark):
     rows = spark.range(3000).select(
         F.lit("big").alias("site"), F.col("id").alias("page_id"), F.col("id").cast("string").alias("text")
     )
-    parts = W.joined_texts(rows, "site", "page_id", limit=1000).orderBy("chunk").collect()
-    assert len(parts) == 3
+    parts = W.joined_texts(rows, "site", "page_id", limit=1000).orderBy("part").collect()
+    assert len(parts) == 11
     assert " | ".join(p["text"] for p in parts) == " | ".join(str(i) for i in range(3000))
 
 

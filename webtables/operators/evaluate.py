@@ -22,22 +22,54 @@ def _unknown() -> Column:
     return F.col("actual") == F.array(F.lit("?"))
 
 
-def predictions(pages: DataFrame) -> DataFrame:
-    """Cart software found on every captured site: url, pred."""
-    tagged = with_tags(pages, ecommerce.CART_NEEDLES)
-    return tagged.select(
-        "url", ecommerce.cart_software(F.col("tags"), F.col("html")).alias("pred")
+def detector_table(pages: DataFrame, ordinal: str = "page_id") -> DataFrame:
+    """What the detectors find on every captured site: url, pred, has_card, payment_names.
+
+    One row per url: of several captures the one with the highest ordinal counts.
+    """
+    tags, html = F.col("tags"), F.col("html")
+    tagged = with_tags(pages, (*ecommerce.CART_NEEDLES, "payment"))
+    found = tagged.select(
+        "url",
+        F.col(ordinal).alias("_ord"),
+        F.struct(
+            ecommerce.cart_software(tags, html).alias("pred"),
+            ecommerce.has_card(tags, html).alias("has_card"),
+            ecommerce.payment_systems(html).alias("payment_names"),
+        ).alias("_found"),
     )
+    return found.groupBy("url").agg(F.max_by("_found", "_ord").alias("_found")).select("url", "_found.*")
+
+
+def predictions(pages: DataFrame, ordinal: str = "page_id") -> DataFrame:
+    """Cart software found on every captured site: url, pred."""
+    return detector_table(pages, ordinal).select("url", "pred")
+
 
+def error_table(errors: DataFrame, blocked: DataFrame, ordinal: str | None = None) -> DataFrame:
+    """One capture error per site, ``robotblock`` overriding any other.
 
-def error_table(errors: DataFrame, blocked: DataFrame) -> DataFrame:
-    """Capture errors by site, ``robotblock`` overriding any other."""
+    Of several errors the one with the highest ordinal counts, without an
+    ordinal the last in alphabetical order.
+    """
+    last = F.max("error") if ordinal is None else F.max_by("error", ordinal)
+    failed = errors.groupBy("url").agg(last.alias("error"))
     marked = blocked.select("url").distinct().withColumn("_block", F.lit("robotblock"))
-    return errors.join(marked, "url", "full_outer").select(
+    return failed.join(marked, "url", "full_outer").select(
         "url", F.coalesce("_block", "error").alias("error")
     )
 
 
+def site_scores(truth: DataFrame, found: DataFrame, errors: DataFrame) -> DataFrame:
+    """``results`` and ``card_table`` of labelled sites in one table.
+
+    ``found`` is a detector table, so that its pages are read once.
+    """
+    joined = truth.join(found, "url", "left").join(errors, "url", "left")
+    names = [*_result_columns(), *_card_columns()]
+    return joined.select(*names)
+
+
 def results(truth: DataFrame, pred: DataFrame, errors: DataFrame) -> DataFrame:
     """Labelled sites with prediction, match flags and error.
 
@@ -45,8 +77,12 @@ def results(truth: DataFrame, pred: DataFrame, errors: DataFrame) -> DataFrame:
     in common; both are null where the truth is unknown.
     """
     joined = truth.join(pred, "url", "left").join(errors, "url", "left")
+    return joined.select(*_result_columns())
+
+
+def _result_columns() -> list[Column]:
     guess = F.coalesce("pred", _no_labels())
-    return joined.select(
+    return [
         urls.short_name(F.col("url")).alias("name"),
         "url",
         "actual",
@@ -54,7 +90,15 @@ def results(truth: DataFrame, pred: DataFrame, errors: DataFrame) -> DataFrame:
         F.when(~_unknown(), F.col("actual") == guess).alias("correct"),
         F.when(~_unknown(), F.arrays_overlap("actual", guess)).alias("partial"),
         F.coalesce("error", F.lit("")).alias("error"),
-    )
+    ]
+
+
+def _card_columns() -> list[Column]:
+    usable = F.col("error").isNull()
+    return [
+        F.coalesce(F.when(usable, F.col("has_card")), F.lit(False)).alias("has_card"),
+        F.coalesce(F.when(usable, F.col("payment_names")), _no_labels()).alias("payment_names"),
+    ]
 
 
 def label_vocabulary(truth: DataFrame) -> DataFrame:
@@ -102,37 +146,16 @@ def recheck_list(truth: DataFrame) -> DataFrame:
     return truth.filter(_unknown()).select("url", urls.short_name(F.col("url")).alias("name"))
 
 
-def card_table(sites: DataFrame, pages: DataFrame, errors: DataFrame) -> DataFrame:
+def card_table(sites: DataFrame, found: DataFrame, errors: DataFrame) -> DataFrame:
     """Card support and payment names per site, none for sites with an error."""
-    tags, html = F.col("tags"), F.col("html")
-    found = with_tags(pages, ("payment",)).select(
-        "url",
-        ecommerce.has_card(tags, html).alias("_card"),
-        ecommerce.payment_systems(html).alias("_names"),
-    )
-    failed = errors.select("url", F.lit(True).alias("_failed"))
-    usable = F.col("_failed").isNull()
-    return (
-        sites.select("url")
-        .join(found, "url", "left")
-        .join(failed, "url", "left")
-        .select(
-            urls.short_name(F.col("url")).alias("name"),
-            "url",
-            F.coalesce(F.when(usable, F.col("_card")), F.lit(False)).alias("has_card"),
-            F.coalesce(F.when(usable, F.col("_names")), _no_labels()).alias("payment_names"),
-        )
-    )
+    joined = sites.select("url").join(found, "url", "left").join(errors, "url", "left")
+    return joined.select(urls.short_name(F.col("url")).alias("name"), "url", *_card_columns())
 
 
 def with_card(card: DataFrame) -> DataFrame:
     return card.filter("has_card")
 
 
-def results_with_card(table: DataFrame, card: DataFrame) -> DataFrame:
-    return table.join(card, ["name", "url"])
-
-
 def nothing_detected(joined: DataFrame) -> DataFrame:
     return joined.filter(
         (F.size("pred") == 0) & ~F.col("has_card") & (F.size("payment_names") == 0)
@@ -143,9 +166,9 @@ def with_error(table: DataFrame) -> DataFrame:
     return table.filter(F.col("error") != "")
 
 
-def evidence_counts(pages: DataFrame) -> DataFrame:
-    """Number of pages that show each sign of card support."""
-    tagged = with_tags(pages, ("payment",))
+def evidence_counts(pages: DataFrame, errors: DataFrame) -> DataFrame:
+    """Number of pages that show each sign of card support, sites with an error apart."""
+    tagged = with_tags(pages.join(errors.select("url"), "url", "left_anti"), ("payment",))
     signs = ecommerce.card_evidence(F.col("tags"), F.col("html"))
     flags = tagged.select(*[sign.alias(name) for name, sign in signs.items()])
     return flags.agg(*[F.count_if(F.col(name)).alias(name) for name in signs])

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from webtables.functions import urls
-from webtables.operators.skew import with_chunk
+from webtables.operators.skew import with_part
 
 # The groups of the per-website table and their fields, in order.
 FIELD_GROUPS = {
@@ -69,39 +71,48 @@ def site_table(
 ) -> DataFrame:
     """Per website, an array of distinct values per field in first-seen order.
 
-    A site with more than ``limit`` values in all goes on in further rows, told
-    apart by ``chunk``; every other site has the one row with chunk 0.
+    Arrays hold the fields' own types. A site's values, by first occurrence,
+    field and value, are cut into parts of ``limit`` values, numbered from 0; all
+    but very large sites have part 0 only.
     """
-    values = with_chunk(
+    values = with_part(
         _values(records, fields, ordinal),
         "website",
-        F.col("first_ord"),
-        size=F.when(F.col("field") == _SITE, 0).otherwise(1),
-        limit=limit,
+        ["first_ord", "field", "value"],
+        limit,
+        F.when(F.col("field") == _SITE, 0).otherwise(1),
     )
+    types = {field.name: field.dataType for field in records.schema.fields}
+
+    def typed(name: str) -> Callable[[Column], Column]:
+        kind = types[name]
+        if kind.typeName() == "array":
+            return lambda e: F.from_json(e["value"], kind)
+        return lambda e: e["value"].cast(kind)
+
     entry = F.struct("first_ord", "value")
     lists = [
         F.transform(
             F.array_sort(F.collect_list(F.when(F.col("field") == name, entry))),
-            lambda e: e["value"],
+            typed(name),
         ).alias(name)
         for name in fields
     ]
-    return values.groupBy("website", "chunk").agg(*lists)
+    return values.groupBy("website", "part").agg(*lists)
 
 
 def align_to_seeds(sites: DataFrame, seeds: DataFrame, strict: bool = False) -> DataFrame:
     """One row per seed, with its site's columns or nulls; other sites vanish.
 
     Sites are named without ``www.``, so seeds are matched without it too.
-    ``strict`` matches them as written instead. A seed first meets the chunk
-    numbers of its site only; the arrays then join by site and chunk, as they
+    ``strict`` matches them as written instead. A seed first meets the part
+    numbers of its site only; the arrays then join by site and part, as they
     are partitioned already.
     """
     name = F.col("netloc") if strict else urls.strip_www(F.col("netloc"))
     keyed = seeds.select("txt_line_num", "netloc", name.alias("website"))
-    placed = keyed.join(sites.select("website", "chunk"), "website", "left")
-    return placed.join(sites, ["website", "chunk"], "left").select(
+    placed = keyed.join(sites.select("website", "part"), "website", "left")
+    return placed.join(sites, ["website", "part"], "left").select(
         "txt_line_num",
         F.col("netloc").alias("website"),
         *[c for c in sites.columns if c != "website"],
@@ -112,13 +123,13 @@ def group_fields(
     table: DataFrame,
     expected: list[str],
     groups: dict[str, list[str]] = FIELD_GROUPS,
-    keys: tuple[str, ...] = ("txt_line_num", "chunk"),
+    keys: tuple[str, ...] = ("txt_line_num", "part"),
 ) -> DataFrame:
     """Arrange columns into one struct per group; every expected field needs one."""
     grouped = {field for fields in groups.values() for field in fields}
     missing = sorted(set(expected) - grouped)
     if missing:
-        raise ValueError(f"Not all expected fields are in a group ({', '.join(missing)}).")
+        raise ValueError(f"no group takes these fields: {', '.join(missing)}")
     structs = []
     for group, fields in groups.items():
         present = [f for f in fields if f in table.columns]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from webtables.sources.tables import materialise
+
 
 def join_summary(
     rows: DataFrame, summary: DataFrame, key: str, spread: str, salts: int = 1
@@ -29,32 +31,46 @@ def join_summary(
     )
 
 
-def with_chunk(
-    rows: DataFrame,
-    key: str,
-    ordinal: Column,
-    size: Column | None = None,
-    limit: int = 10_000,
-    width: int | None = None,
-) -> DataFrame:
-    """Add a ``chunk`` number that keeps every (key, chunk) group bounded.
+def running_total(rows: DataFrame, key: str, order: list[str], amount: Column) -> DataFrame:
+    """Add ``before``: the sum of ``amount`` over the key's earlier rows.
 
-    A key whose sizes sum to at most ``limit`` is one chunk, 0. A larger key is
-    cut into ranges of ``width`` ordinals, in ordinal order and numbered from
-    1 at ordinal 0, so the chunks of a key together hold all of its rows.
+    Rows are range-partitioned by key and order and written once, so that a hot
+    key's rows lie in many blocks. Only the blocks' sums meet per key; the rows
+    are summed within their blocks.
     """
-    size = F.lit(1) if size is None else size
-    marked = rows.withColumn("_range", F.floor(ordinal / (width or limit)))
-    # One row per key and range, so the window sees a small part of the rows.
-    ranges = marked.groupBy(key, "_range").agg(F.sum(size).alias("_size"))
-    whole = F.sum("_size").over(Window.partitionBy(key))
-    cut = (
-        ranges.withColumn("_whole", whole)
-        .filter(F.col("_whole") > limit)
-        .select(key, "_range", (F.col("_range") + 1).alias("_cut"))
+    amounts = rows.withColumn("_amount", amount)
+    spread = amounts.repartitionByRange(key, *order, "_amount").withColumn(
+        "_block", F.spark_partition_id()
+    )
+    blocks = materialise(spread)
+    earlier = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = blocks.groupBy(key, "_block").agg(F.sum("_amount").alias("_sum"))
+    offsets = sums.select(
+        F.col(key).alias("_key"),
+        F.col("_block").alias("_at"),
+        F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"),
     )
+    within = (
+        Window.partitionBy(key, "_block")
+        .orderBy(*order)
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_block") == F.col("_at"))
     return (
-        marked.join(cut, [key, "_range"], "left")
-        .withColumn("chunk", F.coalesce("_cut", F.lit(0)))
-        .drop("_range", "_cut")
+        blocks.join(offsets, same)
+        .withColumn("before", F.col("_offset") + F.coalesce(F.sum("_amount").over(within), F.lit(0)))
+        .drop("_amount", "_block", "_key", "_at", "_offset")
     )
+
+
+def with_part(
+    rows: DataFrame, key: str, order: list[str], limit: int, amount: Column | None = None
+) -> DataFrame:
+    """Add a ``part`` number, from 0, that keeps every (key, part) group bounded.
+
+    A key's rows are laid end to end in order, each as long as its amount (1 if
+    none is given); a row is in the part in which it begins. So a part
+    holds less than ``limit`` and its last row, whatever the size of the table.
+    """
+    placed = running_total(rows, key, order, F.lit(1) if amount is None else amount)
+    return placed.withColumn("part", F.floor(F.col("before") / limit).cast("int")).drop("before")

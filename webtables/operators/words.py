@@ -12,10 +12,12 @@ from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame, Window, functions as F
 
 from webtables.functions import text as X, urls
-from webtables.operators.skew import join_summary, with_chunk
+from webtables.operators.skew import join_summary, with_part
 
+# Characters of a row of joined texts before the next text begins a new one.
 TEXT_LIMIT = 50_000_000
-TEXT_PAGES = 1000
+# Words of a row of count maps.
+MAP_WORDS = 100_000
 
 
 def default_stop_words() -> list[str]:
@@ -30,20 +32,16 @@ def with_netloc(pages: DataFrame) -> DataFrame:
 def joined_texts(
     docs: DataFrame, key: str, ordinal: str, text: str = "text", limit: int = TEXT_LIMIT
 ) -> DataFrame:
-    """Texts of each key joined by ``' | '`` in order: key, chunk, text.
+    """Texts of each key joined by ``' | '`` in order: key, part, text.
 
-    A key with more than ``limit`` characters is continued in further rows.
+    A key's texts are cut into parts of ``limit`` characters, a text staying
+    whole in the part that it begins in.
     """
-    chunked = with_chunk(
-        docs.select(key, ordinal, text),
-        key,
-        F.col(ordinal),
-        size=F.coalesce(F.length(text), F.lit(0)),
-        limit=limit,
-        width=TEXT_PAGES,
+    placed = with_part(
+        docs.select(key, ordinal, text), key, [ordinal], limit, F.coalesce(F.length(text), F.lit(0))
     )
     parts = F.array_sort(F.collect_list(F.struct(ordinal, text)))
-    return chunked.groupBy(key, "chunk").agg(
+    return placed.groupBy(key, "part").agg(
         F.array_join(F.transform(parts, lambda p: p[text]), " | ").alias("text")
     )
 
@@ -127,14 +125,9 @@ def keyword_lists(ranked: DataFrame, key: str) -> DataFrame:
     return ranked.groupBy(key).agg(F.transform(entries, lambda e: e["word"]).alias("keywords"))
 
 
-def count_maps(counts: DataFrame, key: str, limit: int = 100_000) -> DataFrame:
-    """Word counts as maps: key, chunk, counts.
-
-    A key with more than ``limit`` words has several rows of disjoint maps.
-    """
-    spread = F.pmod(F.xxhash64("word"), F.lit(1 << 20))
-    chunked = with_chunk(counts, key, spread, limit=limit, width=1 << 8)
-    return chunked.groupBy(key, "chunk").agg(
+def count_maps(counts: DataFrame, key: str, limit: int = MAP_WORDS) -> DataFrame:
+    """Word counts as maps: key, part, counts; a part holds ``limit`` words in order."""
+    return with_part(counts, key, ["word"], limit).groupBy(key, "part").agg(
         F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("counts")
     )
 

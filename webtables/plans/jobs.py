@@ -10,10 +10,12 @@ from webtables.operators import cluster, evaluate, pages as P, rollup, topics as
 from webtables.sources.tables import load_or_build
 
 
-def website_table(pages: DataFrame, seeds: DataFrame, fetch_log: DataFrame | None = None) -> DataFrame:
+def website_table(
+    pages: DataFrame, seeds: DataFrame, fetch_log: DataFrame | None = None, limit: int = 10_000
+) -> DataFrame:
     """Pages to one grouped row per seed."""
     records = P.page_records(pages, fetch_log)
-    sites = rollup.site_table(records, rollup.FIELDS)
+    sites = rollup.site_table(records, rollup.FIELDS, limit=limit)
     expected = [c for c in records.columns if c not in ("page_id", "page_type")]
     return rollup.group_fields(rollup.align_to_seeds(sites, seeds), expected)
 
@@ -52,6 +54,6 @@ def detector_scores(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Results per site, performance per label, results joined with card signs."""
     failed = evaluate.error_table(errors, blocked)
-    table = evaluate.results(truth, evaluate.predictions(pages), failed)
-    card = evaluate.card_table(truth, pages, failed)
-    return table, evaluate.label_performance(table), evaluate.results_with_card(table, card)
+    both = evaluate.site_scores(truth, evaluate.detector_table(pages), failed)
+    table = both.drop("has_card", "payment_names")
+    return table, evaluate.label_performance(table), both
