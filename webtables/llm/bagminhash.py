@@ -12,8 +12,8 @@ Bands of ROWS registers name buckets. Exact copies count once. In three waves,
 candidates of one bucket are verified by multiset overlap (at least THRESHOLD):
 each text against the pivot it shares most buckets with, then against its other
 buckets' pivots, then all pairs of a bucket that are still in different
-components. Pairs that a wave before has joined are never formed, and no pair
-of a bucket is left out.
+components, block by block within tasks. Pairs that a wave before has joined
+are left out, and no other pair of a bucket is.
 
 Results: null texts are in a class of their own row. Equal texts, also without
 any word, are in one class. The class id is the least doc_id in it (null if
@@ -25,6 +25,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -46,6 +47,8 @@ THRESHOLD = 0.8
 #: A pair of similarity 0.8 shares a band with a probability of 0.9993.
 BANDS, ROWS = 24, 6
 REGISTERS = BANDS * ROWS
+#: Nodes of a bucket that are compared with as many others in one task.
+BLOCK = 384
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -181,9 +184,84 @@ def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return both.filter("component_a <> component_b").select("a", "b")
 
 
+def cells(texts: DataFrame) -> DataFrame:
+    """node and its multiset as a set: a hash of each shingle and its occurrence number."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHashes()
+        for part in slices(batches, "text"):
+            who, element, count = bag(*shingles(part["text"].to_pylist(), cache))
+            owner, value = np.repeat(who, count), np.repeat(element, count)
+            nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+            value = (mix(value + nth.astype(np.uint64) * GOLDEN) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            ends = np.searchsorted(owner, np.arange(part.num_rows + 1))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(value))
+            yield pa.RecordBatch.from_arrays([part["node"], lists], names=["node", "cells"])
+
+    return texts.select("node", "text").mapInArrow(run, "node bigint, cells array<int>")
+
+
+def tile_links(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links between two blocks of a bucket's nodes (or within one) in different components."""
+    sets = [np.unique(x) for x in rows["cells"]]
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    cell, at = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), size)
+    shared = np.bincount(at, minlength=len(cell)) > 1
+    keep = shared[at]
+    owner, at = owner[keep], (np.cumsum(shared) - 1)[at[keep]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int(shared.sum()), 4096):
+        a, b = np.searchsorted(at, [low, low + 4096])
+        held = np.zeros((len(sets), 4096), np.float32)
+        held[owner[a:b], at[a:b] - low] = 1
+        common += held @ held.T
+    near = common >= (THRESHOLD - 0.01) * (size[:, None] + size[None] - common)
+    component, side = rows["component"].to_numpy(), rows["side"].to_numpy()
+    near &= component[:, None] != component[None]
+    both = rows["tile_a"].iloc[0] == rows["tile_b"].iloc[0]
+    near &= both | (side[:, None] != side[None])
+    x, y = np.nonzero(np.triu(near, 1))
+    node = rows["node"].to_numpy()
+    return pd.DataFrame({"a": np.minimum(node[x], node[y]), "b": np.maximum(node[x], node[y])})
+
+
+def rest_links(placed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of a bucket in different components that are near (to be verified).
+
+    A bucket is cut into blocks of about BLOCK nodes, and every two blocks are
+    compared in one task. So only near pairs leave a task, and a node's rows
+    grow with the blocks of its buckets, not with their nodes.
+    """
+    summary = placed.groupBy("bucket").agg(
+        F.min("component").alias("_l"), F.max("component").alias("_h"), F.ceil(F.count("*") / BLOCK).alias("n_blocks")
+    )
+    mixed = join_summary(placed, summary.filter("_l <> _h"), "bucket", "node")
+    block = F.pmod(F.xxhash64("node"), "n_blocks")
+    tile = F.explode(
+        F.transform(
+            F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1),
+            lambda other: F.struct(
+                F.least("block", other).alias("tile_a"), F.greatest("block", other).alias("tile_b")
+            ),
+        )
+    )
+    rows = mixed.withColumn("block", block).select("bucket", "node", "component", "block", tile.alias("t"))
+    rows = rows.select("bucket", "node", "component", F.col("block").alias("side"), "t.*")
+    # The sets join before the tiles are dealt, as both sides are shuffled by node here.
+    held = rows.join(materialise(cells(texts)), "node")
+    return held.groupBy("bucket", "tile_a", "tile_b").applyInPandas(tile_links, "a bigint, b bigint").distinct()
+
+
 def near_links(texts: DataFrame, buckets: DataFrame) -> DataFrame:
-    """Components of the nodes with links, from rows of bucket and node."""
-    summary = buckets.groupBy("bucket").agg(F.min("node").alias("pivot"))
+    """Components of the nodes with links, from rows of bucket, node and hub.
+
+    A bucket's pivot is the node that shares most buckets (hub), which of copies
+    with many changes is the one nearest to all.
+    """
+    summary = buckets.groupBy("bucket").agg(F.max(F.struct("hub", "node"))["node"].alias("pivot"))
     pivots = join_summary(buckets, summary, "bucket", "node").filter("node <> pivot")
     votes = materialise(pivots.groupBy("node", "pivot").agg(F.count("*").alias("votes")))
     best = votes.groupBy("node").agg(F.min(F.struct((-F.col("votes")).alias("v"), "pivot")).alias("best"))
@@ -192,18 +270,13 @@ def near_links(texts: DataFrame, buckets: DataFrame) -> DataFrame:
     labels = components(links)
     others = votes.select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     more = materialise(verified(apart(others, labels), texts))
-    links = links.union(more)
-    labels = components(links)
-    # The rest: pairs of a bucket that are still apart, without those tried above.
-    placed = materialise(labelled(buckets, labels, "node", "component"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("_l"), F.max("component").alias("_h"))
-    open_rows = join_summary(placed, mixed.filter("_l <> _h"), "bucket", "node").select("bucket", "node", "component")
-    left = open_rows.select("bucket", F.col("node").alias("a"), F.col("component").alias("component_a"))
-    right = open_rows.select("bucket", F.col("node").alias("b"), F.col("component").alias("component_b"))
-    rest = left.join(right, "bucket").filter("a < b and component_a <> component_b").select("a", "b").distinct()
-    tried = others.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    last = materialise(verified(rest.join(tried, ["a", "b"], "left_anti"), texts))
-    return components(links.union(last)) if not last.isEmpty() else labels
+    if not more.isEmpty():
+        links = links.union(more)
+        labels = components(links)
+    # The rest: pairs of a bucket that are still apart.
+    placed = materialise(labelled(buckets.select("bucket", "node"), labels, "node", "component"))
+    last = materialise(verified(rest_links(placed, texts), texts))
+    return labels if last.isEmpty() else components(links.union(last))
 
 
 def classes(documents: DataFrame) -> DataFrame:
@@ -217,8 +290,10 @@ def classes(documents: DataFrame) -> DataFrame:
     )
     nodes = materialise(copies.withColumn("node", F.monotonically_increasing_id()))
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("_n")).filter("_n > 1")
     buckets = materialise(join_summary(rows, shared, "bucket", "node"))
+    hubs = buckets.groupBy("node").agg(F.sum("_n").alias("hub"))
+    buckets = materialise(buckets.drop("_n").join(hubs, "node"))
     wanted = buckets.select("node").distinct().join(nodes.select("node", "text_key", "doc_id"), "node")
     # One copy of each wanted text: the row or rows of the least doc_id.
     same = [keyed["text_key"] == wanted["text_key"], keyed["doc_id"].eqNullSafe(wanted["doc_id"])]
