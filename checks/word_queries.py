@@ -162,8 +162,8 @@ def _(spark, sf):
     return W.top_words(W.without_stop_words(counts, STOP_WORDS), "source")
 
 
-def _weights(spark: SparkSession, sf: str) -> DataFrame:
-    return W.tf_idf(documents(spark, sf), "doc_id", stop_words=STOP_WORDS)
+def _weights(spark: SparkSession, sf: str, labels: DataFrame | None = None) -> DataFrame:
+    return W.tf_idf(documents(spark, sf), "doc_id", stop_words=STOP_WORDS, labels=labels)
 
 
 def _languages(spark: SparkSession, sf: str) -> DataFrame:
@@ -195,17 +195,26 @@ def _(spark, sf):
 
 @query(
     "kmeans_labels",
-    "SELECT count(*) AS n_docs, count(DISTINCT doc_id) AS n_distinct, count(*) AS in_range, true AS at_most_k FROM documents",
+    "SELECT doc_id AS doc, true AS at_nearest, 5 AS n_clusters FROM documents",
 )
 def _(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("doc"))
-    labels = cluster.cluster_documents(_weights(spark, sf), docs, _CLUSTERS, seed=777)
-    return labels.agg(
-        F.count(F.lit(1)).alias("n_docs"),
-        F.count_distinct("doc").alias("n_distinct"),
-        F.count_if(F.col("cluster").between(0, _CLUSTERS - 1)).alias("in_range"),
-        (F.count_distinct("cluster") <= _CLUSTERS).alias("at_most_k"),
-    )
+    weights = T.materialise(_weights(spark, sf))
+    labels = cluster.cluster_documents(weights, docs, _CLUSTERS, seed=777)
+    # Distances to the means of the labels, anew and by plain joins, in long form.
+    sizes = labels.groupBy("cluster").agg(F.count("*").alias("size"))
+    sums = weights.join(labels, "doc").groupBy("cluster", "word").agg(F.sum("weight").alias("total"))
+    means = sums.join(sizes, "cluster").select("cluster", "word", (F.col("total") / F.col("size")).alias("mean"))
+    squares = means.groupBy("cluster").agg(F.sum(F.col("mean") * F.col("mean")).alias("square"))
+    dots = weights.join(means, "word").groupBy("doc", "cluster").agg(F.sum(F.col("weight") * F.col("mean")).alias("dot"))
+    every = docs.select("doc", F.explode(F.sequence(F.lit(0), F.lit(_CLUSTERS - 1))).alias("cluster"))
+    cost = F.col("square") - 2 * F.coalesce("dot", F.lit(0.0))
+    costs = every.join(squares, "cluster").join(dots, ["doc", "cluster"], "left").select("doc", "cluster", cost.alias("cost"))
+    own = costs.join(labels.withColumn("mine", F.lit(True)), ["doc", "cluster"], "left")
+    least, mine = F.min("cost"), F.max(F.when(F.col("mine"), F.col("cost")))
+    n_clusters = sizes.agg(F.count("*").cast("int").alias("n")).scalar()
+    checked = own.groupBy("doc").agg((mine <= least + 1e-6).alias("at_nearest"))
+    return checked.withColumn("n_clusters", n_clusters)
 
 
 @query("cluster_sizes", "SELECT lang AS cluster, count(*) AS n_docs FROM documents GROUP BY lang")
@@ -215,7 +224,8 @@ def _(spark, sf):
 
 @query("cluster_words", "SELECT cluster, word, round(weight, 6) AS weight FROM cluster_shares", WORDS)
 def _(spark, sf):
-    shares = cluster.cluster_words(_weights(spark, sf), _languages(spark, sf))
+    labels = _languages(spark, sf)
+    shares = cluster.cluster_words(_weights(spark, sf, labels), labels)
     return shares.withColumn("weight", F.round("weight", 6))
 
 
@@ -227,7 +237,8 @@ def _(spark, sf):
     WORDS,
 )
 def _(spark, sf):
-    top = cluster.top_cluster_words(_weights(spark, sf), _languages(spark, sf))
+    labels = _languages(spark, sf)
+    top = cluster.top_cluster_words(_weights(spark, sf, labels), labels)
     return top.withColumn("weight", F.round("weight", 6))
 
 
@@ -398,11 +409,17 @@ def _(spark, sf):
     return K.preview(_topic_columns(K.with_topics(_classified(spark, sf))), 10, "doc_id")
 
 
-@query("random_rows", "SELECT 10 AS n, true AS known")
+# A draw of 10 rows by seed: again the same, with another seed not, and not the first ten.
+@query("random_rows", "SELECT 10 AS n, 10 AS again, true AS by_seed, true AS at_random")
 def _(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "lang")
-    drawn = K.random_rows(docs, 10, seed=7)
-    return drawn.agg(
-        F.count_distinct("doc_id").cast("int").alias("n"),
-        F.bool_and(F.col("lang").isNotNull()).alias("known"),
+    docs = table(spark, sf, "documents").select("doc_id")
+    draws = [docs.transform(lambda t: t.orderBy("doc_id").limit(10))]
+    draws += [K.random_rows(docs, 10, seed) for seed in (7, 7, 8)]
+    first, drawn, again, other = (d.agg(F.sort_array(F.collect_set("doc_id")).alias(f"d{i}")) for i, d in enumerate(draws))
+    joined = drawn.withColumns({"d0": first.scalar(), "d2": again.scalar(), "d3": other.scalar()})
+    return joined.select(
+        F.size("d1").alias("n"),
+        F.size(F.array_intersect("d1", "d2")).alias("again"),
+        (F.col("d1") != F.col("d3")).alias("by_seed"),
+        (F.col("d1") != F.col("d0")).alias("at_random"),
     )

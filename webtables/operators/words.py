@@ -133,10 +133,17 @@ def count_maps(counts: DataFrame, key: str, limit: int = MAP_WORDS) -> DataFrame
 
 
 def tf_idf(
-    docs: DataFrame, key: str, text: str = "text", stop_words: Sequence[str] | None = None
+    docs: DataFrame,
+    key: str,
+    text: str = "text",
+    stop_words: Sequence[str] | None = None,
+    labels: DataFrame | None = None,
 ) -> DataFrame:
     """TF-IDF weights scaled to unit length per key: doc, word, weight.
 
+    With ``labels`` (doc, cluster), rows also get their document's cluster, and
+    documents without one go; it comes along when the lengths do.
+
     weight = n * (ln((1 + docs) / (1 + docs with word)) + 1), over its length.
     """
     stops = default_stop_words() if stop_words is None else list(stop_words)
@@ -157,8 +164,11 @@ def tf_idf(
         "doc", "word", (F.col("n") * idf).alias("v")
     )
     lengths = raw.groupBy("doc").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("length"))
+    if labels is not None:
+        lengths = lengths.join(labels.select("doc", "cluster"), "doc")
+    kept = [] if labels is None else ["cluster"]
     return join_summary(raw, lengths, "doc", spread="word").select(
-        "doc", "word", (F.col("v") / F.col("length")).alias("weight")
+        "doc", "word", (F.col("v") / F.col("length")).alias("weight"), *kept
     )
 
 
