@@ -23,6 +23,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from webtables.llm.common import extended, extended_schema, filtered, mix, slices
@@ -47,6 +48,16 @@ def letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
+def words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words (lower-cased runs of letters) of the texts, the number of
+    each word of the texts in turn, and each text's bounds among these."""
+    lower = pc.utf8_lower(pc.fill_null(texts, ""))
+    parts = pc.split_pattern(pc.replace_substring_regex(lower, "\\PL+", " "), " ")
+    coded = parts.flatten().dictionary_encode()
+    bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(parts).to_numpy())])
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False), bounds
+
+
 def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all n-grams and the text each is from, in no particular order."""
     lowered = ["\0" + (t or "").lower() + "\0" for t in texts]
@@ -111,18 +122,21 @@ class Filters:
         full = [self.bit(self.slots, i).mean() for i in range(len(self.languages))]
         return np.array(full) ** PROBES
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        hashes, owner = grams(texts)
-        total = np.bincount(owner, minlength=len(texts))
+    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+        """The language and the score of every text; a word's n-grams are looked up once."""
         if not self.languages or not len(texts):
             return [UNDETERMINED] * len(texts), np.zeros(len(texts))
+        distinct, index, bounds = words(texts)
+        hashes, owner = grams(distinct)
         bits = self.masks(hashes)
-        hits = np.stack(
-            [
-                np.bincount(owner, weights=self.bit(bits, i).astype(np.float64), minlength=len(texts))
-                for i in range(len(self.languages))
-            ]
-        )
+
+        def per_text(of_gram: np.ndarray | None) -> np.ndarray:
+            of_word = np.bincount(owner, weights=of_gram, minlength=len(distinct))
+            sums = np.concatenate([[0], np.cumsum(of_word[index])])[bounds]
+            return np.diff(sums)
+
+        total = per_text(None)
+        hits = np.stack([per_text(self.bit(bits, i).astype(np.float64)) for i in range(len(self.languages))])
         wrong = self.false_positives[:, None]
         true = np.clip((hits - total * wrong) / np.maximum(1 - wrong, 1e-9), 0, None)
         best = true.argmax(axis=0)
@@ -145,15 +159,17 @@ def counted(training: DataFrame) -> DataFrame:
             held.clear()
 
         for part in slices(batches, "text"):
-            hashes, owner = grams(part["text"].to_pylist())
-            langs = np.array(part["lang"].to_pylist(), object)
-            for name in set(langs):
-                gram, count = np.unique(hashes[(langs == name)[owner]], return_counts=True)
+            distinct, index, bounds = words(part["text"])
+            hashes, owner = grams(distinct)
+            langs = np.repeat(np.array(part["lang"].to_pylist(), object), np.diff(bounds))
+            for name in set(part["lang"].to_pylist()):
+                uses = np.bincount(index[langs == name], minlength=len(distinct))[owner]
+                gram, count = hashes[uses > 0], uses[uses > 0]
                 if name in held:
-                    both = np.concatenate([held[name][0], gram])
-                    gram, at = np.unique(both, return_inverse=True)
-                    count = np.bincount(at, np.concatenate([held[name][1], count])).astype(np.int64)
-                held[name] = (gram, count.astype(np.int64))
+                    gram = np.concatenate([held[name][0], gram])
+                    count = np.concatenate([held[name][1], count])
+                gram, at = np.unique(gram, return_inverse=True)
+                held[name] = (gram, np.bincount(at, count, len(gram)).astype(np.int64))
             if sum(len(g) for g, _ in held.values()) > HELD_GRAMS:
                 yield from rows()
         yield from rows()
@@ -186,7 +202,7 @@ def identified(documents: DataFrame, filters: Filters) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            names, score = shared.value.predict(part["text"].to_pylist())
+            names, score = shared.value.predict(part["text"])
             yield extended(part, lang_pred=pa.array(names, pa.string()), score=pa.array(score, pa.float64()))
 
     return documents.mapInArrow(run, extended_schema(documents.schema, "lang_pred string, score double"))
@@ -212,7 +228,7 @@ def recognised(documents: DataFrame, filters: Filters, least: float = LEAST_SCOR
     shared = documents.sparkSession.sparkContext.broadcast(filters)
 
     def passes(texts: list[str | None], _: object) -> np.ndarray:
-        names, score = shared.value.predict(texts)
+        names, score = shared.value.predict(pa.array(texts, pa.string()))
         return (np.array(names, object) != UNDETERMINED) & (score >= least)
 
     return filtered(documents, passes, object)
