@@ -99,15 +99,15 @@ def test_pipeline_against_plain_python(spark):
     good = model.above(ordinal.score(model, flat, bounds))[:, -1] >= ordinal.SELECT
     rows = [r for r, g in zip(rows, good, strict=True) if g]
     filters = langmask.learn_from(spark.createDataFrame(rows, docs.schema))
-    names, score = filters.predict([r["text"] for r in rows])
+    import pyarrow as pa
+
+    names, score = filters.predict(pa.array([r["text"] for r in rows], pa.string()))
     rows = [r for r, n, s in zip(rows, names, score, strict=True) if n != "und" and s >= langmask.LEAST_SCORE]
     leads = set(groups_of({r["doc_id"]: r["text"] for r in rows}).values())
     windows = decontaminate.Windows([(str(r.item_id), r.text) for r in table(spark, SMALL, "benchmark").collect()])
     rows = [r for r in rows if r["doc_id"] in leads and not windows.scan(decontaminate.clean_words(r["text"]))[0]]
     with open(corpus_pipeline.TOKENIZER, encoding="utf-8") as file:
         own = bpe.ByteBpe(file.read())
-    import pyarrow as pa
-
     expected = dict(zip([r["doc_id"] for r in rows], own.encode(pa.array([r["text"] for r in rows])).to_pylist(), strict=True))
     assert {r.doc_id: bytes(r.token_ids) for r in corpus_pipeline.run(spark, SMALL).collect()} == expected
 
