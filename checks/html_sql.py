@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+from html.entities import html5, name2codepoint
 
 from checks.inputs import text
 
@@ -21,31 +21,45 @@ ATTRIBUTE = text(
     rf"""([^ \t\n\f\r"'>/=]+)(?:{_SP}*={_SP}*("[^"]*"|'[^']*'|[^ \t\n\f\r"'>]+))?"""
 )
 TOKEN = text(rf"(?is){_EMPTY_RAW}|{_SCRIPT}|{_STYLE}|</?[a-zA-Z]{_IN}/*>|<[!?/][^>]*>|[^<]+|<")
-FOOTER = text(rf"(?is)<footer{_AFTER}>(.*?)(?:</footer|\z)")
+FOOTER = text(rf"(?i)^</?footer{_AFTER}>$")
 TITLE = text(rf"(?is)<title{_AFTER}>([^<]+)")
-_VOID = rf"<(?:br|hr|img|input|wbr)(?:[ \t\n\f\r/]{_IN})?/*>"
-_LEAF = rf"<[a-zA-Z]{_IN}/*>[^<]*</[a-zA-Z][^>]*>"
-_NEST = rf"<[a-zA-Z]{_IN}/*>(?:[^<]+|{_VOID}|{_LEAF})*</[a-zA-Z][^>]*>"
-LINK = text(rf"(?i)<a([ \t\n\f\r/]{_IN}/*)>(?:{_VOID}|{_LEAF}|{_NEST})*([^<]*)")
+LINK = text(rf"(?i)^<a([ \t\n\f\r/]{_IN}/*)>$")
+EDGE = text(r"(?i)^</?a[ \t\n\f\r/>]")
+PLAIN = text(rf"</?[a-zA-Z]{_IN}/*>|<[!?/][^>]*>|[^<]+|<")
+VOID = text(r"(?i)^<(?:area|base|br|col|embed|hr|img|input|link|meta|script|source|style|track|wbr)[ \t\n\f\r/>]|/>$|^<[!?]")
 SPACES = text(rf"{_SP}+")
 
-_NAMED = ", ".join(f"{text(f'&{n};')}: {text(chr(c))}" for n, c in name2codepoint.items())
+# Of the standard's names those of HTML 4, those that need no semicolon, and what
+# the derived pages hold besides.
+_BARE = sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True)
+_USED = {*_BARE, *(f"{n};" for n in name2codepoint), "CounterClockwiseContourIntegral;", "colon;", "bne;"}
+_NAMED = ", ".join(f"{text('&' + n)}: {text(html5[n])}" for n in sorted(_USED))
+_PAGE = ", ".join(
+    f"{n}: {text(bytes([n]).decode('cp1252'))}" for n in range(128, 160) if n not in (129, 141, 143, 144, 157)
+)
 
 
-def decode(value: str) -> str:
+def decode(value: str, loose: bool = True) -> str:
+    """References of the HTML standard; loose ones may lack their semicolon."""
+    end = ";?" if loose else ";"
+    pieces = f"&#[xX][0-9a-fA-F]+{end}|&#[0-9]+{end}|&[a-zA-Z][a-zA-Z0-9]*{end}|[^&]+|&"
+    hexa, deci = (f"regexp_extract(p, '{r}', 1)" for r in ("^&#[xX]0*([0-9a-fA-F]*);?$", "^&#0*([0-9]*);?$"))
     number = (
-        "coalesce(try_cast(regexp_extract(p, '^&#([0-9]{1,7});$', 1) AS BIGINT), "
-        "try_cast('0x' || regexp_extract(p, '^&#[xX]([0-9a-fA-F]{1,6});$', 1) AS BIGINT))"
+        f"CASE WHEN regexp_matches(p, '^&#[xX]') THEN CASE WHEN {hexa} = '' THEN 0 WHEN length({hexa}) <= 6 "
+        f"THEN ('0x' || {hexa})::BIGINT END WHEN {deci} = '' THEN 0 WHEN length({deci}) <= 7 THEN {deci}::BIGINT END"
     )
     character = (
-        f"CASE WHEN {number} BETWEEN 1 AND 55295 OR {number} BETWEEN 57344 AND 1114111 "
-        f"THEN chr({number}::INT) END"
+        f"CASE WHEN ({number}) BETWEEN 128 AND 159 THEN coalesce(MAP {{{_PAGE}}}[({number})::INT], chr(({number})::INT)) "
+        f"WHEN ({number}) BETWEEN 1 AND 55295 OR ({number}) BETWEEN 57344 AND 1114111 "
+        f"THEN chr(({number})::INT) ELSE chr(65533) END"
     )
+    bare = f"regexp_extract(p, '^&({'|'.join(_BARE)})', 0)"
+    prefix = f"CASE WHEN {bare} <> '' THEN MAP {{{_NAMED}}}[{bare}] || substr(p, length({bare}) + 1) END, " if loose else ""
     return (
         f"CASE WHEN contains({value}, '&') THEN array_to_string(list_transform("
-        f"regexp_extract_all({value}, '&[#a-zA-Z0-9]+;|[^&]+|&'), lambda p: "
-        f"CASE WHEN p[1] = '&' AND p[-1] = ';' "
-        f"THEN coalesce(MAP {{{_NAMED}}}[p], {character}, p) ELSE p END), '') "
+        f"regexp_extract_all({value}, '{pieces}'), lambda p: "
+        f"CASE WHEN p[1] <> '&' OR p = '&' THEN p WHEN starts_with(p, '&#') THEN {character} "
+        f"ELSE coalesce(MAP {{{_NAMED}}}[p], {prefix}p) END), '') "
         f"ELSE {value} END"
     )
 
@@ -92,20 +106,30 @@ def html_ctes(source: str) -> dict[str, str]:
                                      regexp_extract_all(regexp_extract(tag_text, {START}, 2), {ATTRIBUTE}, 2) AS vals
                               FROM starts)))""",
         "tags": f"SELECT page_id, pos, tag, {wide}, {first} FROM attributes GROUP BY ALL",
+        # Tokens in order: a link lasts to the next tag of a link, and its own text is
+        # the first where as many elements have ended as begun.
+        "link_tokens": f"""
+            SELECT *, sum(CASE WHEN regexp_matches(t, {EDGE}) THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY pos) AS link
+            FROM (SELECT page_id, generate_subscripts(ts, 1) AS pos, unnest(ts) AS t
+                  FROM (SELECT page_id, regexp_extract_all(html, {PLAIN}) AS ts FROM blanked))""",
+        "link_depths": """
+            SELECT *, s - least(0, min(s) OVER (PARTITION BY page_id, link ORDER BY pos)) AS depth
+            FROM (SELECT *, t[1] <> '<' OR t = '<' AS is_text, sum(CASE WHEN regexp_matches(t, %s) OR t[1] <> '<' OR t = '<'
+                            OR regexp_matches(t, %s) THEN 0 WHEN starts_with(t, '</') THEN -1 ELSE 1 END)
+                         OVER (PARTITION BY page_id, link ORDER BY pos) AS s FROM link_tokens)""" % (EDGE, VOID),
+        "link_texts": """
+            SELECT page_id, link, arg_min(t, pos) FILTER (is_text AND depth = 0) AS own
+            FROM link_depths GROUP BY page_id, link""",
         "links": f"""
-            SELECT page_id, regexp_extract(l, {LINK}, 2) AS own,
-                   arg_min(value, i) FILTER (attr = 'href') AS href
-            FROM (SELECT page_id, l, n, i, lower(name) AS attr, {decode("bare")} AS value
-                  FROM (SELECT page_id, l, n, i, name,
-                               CASE WHEN v[1] IN ('"', '''') THEN substr(v, 2, length(v) - 2) ELSE v END AS bare
-                        FROM (SELECT page_id, l, n, unnest(names) AS name, coalesce(unnest(vals), '') AS v,
+            SELECT page_id, own, arg_min(value, i) FILTER (attr = 'href') AS href
+            FROM (SELECT page_id, link, i, lower(name) AS attr, {decode("bare")} AS value
+                  FROM (SELECT page_id, link, i, name, CASE WHEN v[1] IN ('"', '''') THEN substr(v, 2, length(v) - 2) ELSE v END AS bare
+                        FROM (SELECT page_id, link, unnest(names) AS name, coalesce(unnest(vals), '') AS v,
                                      generate_subscripts(names, 1) AS i
-                              FROM (SELECT page_id, l, n,
-                                           regexp_extract_all(regexp_extract(l, {LINK}, 1), {ATTRIBUTE}, 1) AS names,
-                                           regexp_extract_all(regexp_extract(l, {LINK}, 1), {ATTRIBUTE}, 2) AS vals
-                                    FROM (SELECT page_id, unnest(ls) AS l, generate_subscripts(ls, 1) AS n
-                                          FROM (SELECT page_id, regexp_extract_all(html, {LINK}) AS ls FROM blanked))))))
-            GROUP BY page_id, n, l""",
+                              FROM (SELECT page_id, link, regexp_extract_all(regexp_extract(t, {LINK}, 1), {ATTRIBUTE}, 1) AS names,
+                                           regexp_extract_all(regexp_extract(t, {LINK}, 1), {ATTRIBUTE}, 2) AS vals
+                                    FROM link_tokens WHERE regexp_matches(t, {LINK})))))
+            LEFT JOIN link_texts USING (page_id, link) GROUP BY page_id, link, own""",
         "phones": f"""
             SELECT page_id, list_sort(list_distinct(list(number) FILTER (number IS NOT NULL)))
                    || CASE WHEN bool_or(number IS NULL) THEN [NULL] ELSE [] END AS phone_numbers
@@ -124,12 +148,21 @@ def html_ctes(source: str) -> dict[str, str]:
         "titles": f"""
             SELECT page_id, {decode("raw")} AS title
             FROM (SELECT page_id, nullif(regexp_extract(html, {TITLE}, 1), '') AS raw FROM blanked)""",
-        "footers": f"""
-            SELECT page_id, list_transform(list_filter(string_split_regex(footer, '[\\n\\t\\r]'),
+        # Text between more footers begun than ended.
+        "footer_tokens": f"""
+            SELECT *, s - least(0, min(s) OVER (PARTITION BY page_id ORDER BY pos)) AS depth
+            FROM (SELECT page_id, pos, t, sum(CASE WHEN NOT regexp_matches(t, {FOOTER}) THEN 0 WHEN starts_with(t, '</') THEN -1 ELSE 1 END)
+                         OVER (PARTITION BY page_id ORDER BY pos) AS s
+                  FROM (SELECT page_id, generate_subscripts(ts, 1) AS pos, unnest(ts) AS t
+                        FROM (SELECT page_id, regexp_extract_all(html, {TOKEN}) AS ts FROM shown)))""",
+        "footer_texts": f"""
+            SELECT page_id, string_agg({joined_text("t", bodies=True)}, '' ORDER BY pos) AS footer
+            FROM footer_tokens WHERE depth > 0 GROUP BY page_id""",
+        "footers": """
+            SELECT page_id, list_transform(list_filter(string_split_regex(coalesce(footer, ''), '[\\n\\t\\r]'),
                        lambda x: regexp_matches(x, '(?i)(©|copyright)')),
-                       lambda x: regexp_replace(x, '^[\\p{{Z}}\\x09-\\x0D\\x1C-\\x1F\\x{{85}}]+|[\\p{{Z}}\\x09-\\x0D\\x1C-\\x1F\\x{{85}}]+$', '', 'g')) AS lines
-            FROM (SELECT page_id, array_to_string(list_transform(regexp_extract_all(html, {FOOTER}, 1),
-                             lambda f: {joined_text("f", bodies=True)}), '') AS footer FROM shown)""",
+                       lambda x: regexp_replace(x, '^[\\p{Z}\\x09-\\x0D\\x1C-\\x1F\\x{85}]+|[\\p{Z}\\x09-\\x0D\\x1C-\\x1F\\x{85}]+$', '', 'g')) AS lines
+            FROM shown LEFT JOIN footer_texts USING (page_id)""",
         "texts": f"""
             SELECT page_id, array_to_string(list_filter(string_split(t, chr(10)), lambda x: x <> ''), chr(10)) AS text
             FROM (SELECT page_id, {joined_text("html")} AS t FROM shown)""",

@@ -40,6 +40,9 @@ PIECES = [
     """<p>VISA and Klarna</p>""",
     """<p>apple pay</p>""",
     """<a href='tel:+64 4'>a</a><a href="tel:+64 4">b</a><a href='tel:'> 09 123</a>""",
+    """<a href="tel:"><span><i><b><u>x</u></b></i><br></span>09 123<i>y</i></a><a href='tel&colon;5'>z</a>""",
+    """<footer>a (c) copyright 1<footer>copyright in</footer><p>copyright 2 &copy2021</p>\n&copyA&#00000169; B&#150;"""
+    """&notit; &CounterClockwiseContourIntegral;&bne;&#x110000;</footer></footer>copyright no""",
     """<a href='tel:'></a><a href="tel:"><i class="icon"></i>09&nbsp;55<b>x</b></a>""",
     """<a href='https://facebook.com/a>b'>f</a><a href='https://FACEBOOK.com'>g</a>""",
     """<a href="https://youtube.com/?a=1&amp;b=2">y</a><A HREF=https://linkedin.com/x>l</A>""",

@@ -127,7 +127,7 @@ def _(spark, sf):
 
 _LOCATIONS = {
     "locations": f"""
-        SELECT url, kind, {decode("raw")} AS loc FROM (
+        SELECT url, kind, {decode("raw", loose=False)} AS loc FROM (
             SELECT url, kind, unnest(CASE kind
                 WHEN 'robots' THEN regexp_extract_all(body, '(?im)^[ \\t\\f]*sitemap:[ \\t\\f]*([^\\r\\n]*?)[ \\t\\f]*\\r?$', 1)
                 ELSE list_transform(regexp_extract_all(body, '(?is)<loc(?:[ \\t\\n\\f\\r][^>]*)?>[ \\t\\n\\f\\r]*(.*?)[ \\t\\n\\f\\r]*</loc>', 1),

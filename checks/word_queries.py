@@ -43,7 +43,7 @@ WORDS = {
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return T.spread_scan(table(spark, sf, "documents"))
+    return table(spark, sf, "documents")
 
 
 # ------------------------------------------------------ sources and sinks

@@ -81,7 +81,10 @@ def test_long_and_broken_pages_do_not_hurt(spark):
         ("&amp;lt;", "&lt;"),
         ("&#65;&#x42;&#X1F600;", "AB😀"),
         ("&nbsp;&copy;&bogus;&", " ©&bogus;&"),
-        ("&#0;&#xD800;&#1114112;", "&#0;&#xD800;&#1114112;"),
+        ("&#0;&#xD800;&#1114112;&#99999999999;", "\ufffd" * 4),
+        ("&copy 2021 &copyright &notit; &amp", "© 2021 ©right ¬it; &"),
+        ("&#00000169;&#x0000a9 &#150;&#129;", "©© –\x81"),
+        ("&CounterClockwiseContourIntegral;&bne;", "∳=⃥"),
         ("", ""),
         (None, None),
     ],

@@ -73,12 +73,19 @@ def test_shared_folder_comes_from_the_session(spark):
     assert one.startswith(f"{base}/") and one != two
 
 
-@pytest.mark.parametrize("rows", [1, 1000])
-def test_scans_are_spread_without_loss(spark, folder, rows):
-    spark.range(rows).write.parquet(f"{folder}/t")
-    table = T.spread_scan(spark.read.parquet(f"{folder}/t"))
-    assert table.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
-    assert table.count() == rows
+def test_seeds_of_a_large_file_are_numbered_across_splits(spark, folder):
+    lines = [f"host{i}.nz" if i % 50 else "" for i in range(20_000)]
+    Path(folder, "seeds.txt").write_text("\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        seeds = T.read_seeds(spark, f"{folder}/seeds.txt")
+        assert spark.read.text(f"{folder}/seeds.txt").rdd.getNumPartitions() > 4
+        rows = seeds.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {r["txt_line_num"]: r["netloc"] for r in rows} == {i + 1: h for i, h in enumerate(lines)}
+    assert len(rows) == 20_000
 
 
 def test_captures_as_a_stream(spark, folder):

@@ -4,9 +4,8 @@ A page is read with regular expressions inside the row that holds it, so no
 function here shuffles. Quantifiers are possessive: matching takes linear time
 and no stack, however long a tag is.
 
-Limits: names and attributes follow the HTML syntax, not its tree repair; a
-footer ends at the first ``</footer>``; a link's own text is found after void
-elements and after elements nested up to two deep.
+Names and attributes follow the HTML syntax, not its tree repair: depths count
+start and end tags as written.
 """
 
 from __future__ import annotations
@@ -37,16 +36,24 @@ _STYLE = rf"(<style{_AFTER_NAME}>)(.*?)(?:</style[^>]*+>|\z)"
 _BLANKED = rf"(?is)(?=<[!s])(?:{_COMMENT}|({_EMPTY_RAW})|{_SCRIPT}|{_STYLE})"
 _NO_COMMENTS = rf"(?is)(?=<[!s])(?:{_COMMENT}|({_EMPTY_RAW}|{_SCRIPT}|{_STYLE}))"
 _TOKEN = rf"(?is){_EMPTY_RAW}|{_SCRIPT}|{_STYLE}|{_ANY_TAG}|[^<]++|<"
-_FOOTER = rf"(?is)<footer{_AFTER_NAME}>(.*?)(?:</footer|\z)"
+_FOOTER_TAG = rf"</?footer{_AFTER_NAME}>"
+_FOOTER_PIECE = (
+    rf"(?is){_EMPTY_RAW}|{_SCRIPT}|{_STYLE}|{_FOOTER_TAG}|(?:(?!</?footer|<script|<style).)++|<"
+)
 _TITLE = rf"(?is)<title{_AFTER_NAME}>([^<]+)"
 
-# A start tag of <a>, then nested elements to step over, then own text.
-_VOID = rf"<(?:br|hr|img|input|wbr)(?:(?=[ \t\n\f\r/]){_INSIDE})?+/*+>"
-_LEAF = rf"<[a-zA-Z]{_INSIDE}/*+>[^<]*+</[a-zA-Z][^>]*+>"
-_NEST = rf"<[a-zA-Z]{_INSIDE}/*+>(?:[^<]++|{_VOID}|{_LEAF})*+</[a-zA-Z][^>]*+>"
-_LINK = rf"(?i)<a((?=[ \t\n\f\r/]){_INSIDE}/*+)>(?:{_VOID}|{_LEAF}|{_NEST})*+([^<]*+)"
+# A start tag of <a>, and all up to its end or the next link.
+_LINK = rf"(?is)<a((?=[ \t\n\f\r/]){_INSIDE}/*+)>((?:(?!</?a[ \t\n\f\r/>]).)*+)"
+_PLAIN_TOKEN = rf"{_ANY_TAG}|[^<]++|<"
+# Scripts and styles have lost their ends with their bodies.
+_VOID = (
+    r"(?i)^<(?:area|base|br|col|embed|hr|img|input|link|meta|script|source|style|track|wbr)[ \t\n\f\r/>]"
+    r"|/>$|^<[!?]"
+)
 
 _MULTI_VALUED = ("class", "rel")
+# Names of references to what looked-for texts are made of besides letters.
+_SPELLED = ("&colon;", "&period;", "&sol;", "&lowbar;", "&UnderBar;", "&comma;")
 
 
 def blank_raw_text(html: Column) -> Column:
@@ -106,9 +113,11 @@ def may_hold(html: Column, needles: Iterable[str]) -> Column:
     """False only if no decoded value of the page can hold one of the texts.
 
     A decoded value can only hold a text that the raw page holds too, unless
-    numeric references spell it; pages with those always may.
+    references to numbers or ASCII characters spell it; pages with those always may.
     """
     wanted = html.contains("&#")
+    for name in _SPELLED:
+        wanted = wanted | html.contains(name)
     for needle in needles:
         wanted = wanted | html.contains(needle)
     return wanted
@@ -175,10 +184,24 @@ def meta_content(tags: Column, name: str) -> Column:
 
 
 def footer_text(html: Column) -> Column:
-    """All text inside footers, script bodies included, joined."""
+    """All text inside footers, nested ones and script bodies included, joined.
+
+    The page is cut at the tags of footers and at scripts and styles; a piece
+    counts if more footers have begun than ended before it.
+    """
     shown = F.regexp_replace(html, _NO_COMMENTS, "$1")
-    footers = F.regexp_extract_all(shown, F.lit(_FOOTER), F.lit(1))
-    texts = F.transform(footers, lambda part: _joined_text(part, raw_bodies=True))
+    pieces = F.regexp_extract_all(shown, F.lit(_FOOTER_PIECE), F.lit(0))
+
+    def step(state: Column, piece: Column) -> Column:
+        is_tag = piece.rlike(f"(?i)^{_FOOTER_TAG}$")
+        change = F.when(is_tag, F.when(piece.startswith("</"), -1).otherwise(1)).otherwise(0)
+        depth = F.greatest(state["depth"] + change, F.lit(0))
+        kept = F.when((depth > 0) & ~is_tag, F.concat(state["kept"], F.array(piece))).otherwise(state["kept"])
+        return F.struct(depth.alias("depth"), kept.alias("kept"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("kept"))
+    inside = F.aggregate(pieces, start, step, lambda state: state["kept"])
+    texts = F.transform(inside, lambda part: _joined_text(part, raw_bodies=True))
     return F.when(html.rlike("(?i)<footer"), F.array_join(texts, "")).otherwise("")
 
 
@@ -219,12 +242,29 @@ def page_text(html: Column) -> Column:
 
 def phone_numbers(html: Column) -> Column:
     """Distinct numbers of ``tel:`` links, sorted; null for a link without one."""
-    may_have = html.contains("tel:") | html.contains("&#")
+    may_have = may_hold(html, ["tel:"])
     return F.when(may_have, phones_of(blank_raw_text(html))).otherwise(
         F.array().cast("array<string>")
     )
 
 
+def _own_text(inside: Column) -> Column:
+    """The first text outside all nested elements, however deep they go."""
+    tokens = F.regexp_extract_all(inside, F.lit(_PLAIN_TOKEN), F.lit(0))
+
+    def step(state: Column, token: Column) -> Column:
+        is_text = ~token.startswith("<") | (token == "<")
+        change = F.when(is_text | token.rlike(_VOID), 0).when(token.startswith("</"), -1).otherwise(1)
+        own = F.when(is_text & (state["depth"] == 0), token)
+        return F.struct(
+            F.greatest(state["depth"] + change, F.lit(0)).alias("depth"),
+            F.coalesce(state["text"], own).alias("text"),
+        )
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit(None).cast("string").alias("text"))
+    return F.aggregate(tokens, start, step, lambda state: state["text"])
+
+
 def phones_of(blanked: Column) -> Column:
     links = F.regexp_extract_all(blanked, F.lit(_LINK), F.lit(0))
 
@@ -232,9 +272,7 @@ def phones_of(blanked: Column) -> Column:
         hrefs = F.filter(
             _attributes(F.regexp_extract(link, _LINK, 1)), lambda a: a["name"] == "href"
         )
-        text = let(
-            F.regexp_extract(link, _LINK, 2), lambda t: F.when(t != "", entities.decode(t))
-        )
+        text = let(_own_text(F.regexp_extract(link, _LINK, 2)), lambda t: entities.decode(t))
 
         def found(href: Column) -> Column:
             value = F.when(F.length(href) > 4, F.substring(href, 5, 2**31 - 1)).otherwise(text)

@@ -93,7 +93,8 @@ def sitemap_locations(bodies: DataFrame) -> DataFrame:
             body, F.lit(r"(?is)<loc(?:[ \t\n\f\r][^>]*)?>[ \t\n\f\r]*(.*?)[ \t\n\f\r]*</loc>"), F.lit(1)
         ),
         lambda loc: entities.decode(
-            F.regexp_replace(loc, r"(?s)^<!\[CDATA\[[ \t\n\f\r]*(.*?)[ \t\n\f\r]*\]\]>$", "$1")
+            F.regexp_replace(loc, r"(?s)^<!\[CDATA\[[ \t\n\f\r]*(.*?)[ \t\n\f\r]*\]\]>$", "$1"),
+            loose=False,
         ),
     )
     kind = F.when(F.col("url").endswith("/robots.txt"), "robots").when(root != "", root)

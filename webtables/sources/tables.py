@@ -5,34 +5,35 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
-SEED_SCHEMA = "txt_line_num bigint, netloc string"
 CRAWL_SCHEMA = "URL string, Text string"
 
 
-def spread_scan(table: DataFrame) -> DataFrame:
-    """Give a scan of few files a task per core; leave larger scans alone.
-
-    Reading pages is heavy on the processor, and a small table comes in too
-    few splits to keep all cores busy.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    if table.rdd.getNumPartitions() < cores:
-        return table.repartition(cores)
-    return table
-
-
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Captured pages: page_id, url, html."""
-    return spread_scan(spark.read.parquet(path).select("page_id", "url", "html"))
+    return spark.read.parquet(path).select("page_id", "url", "html")
 
 
 def read_seeds(spark: SparkSession, path: str) -> DataFrame:
-    """A seed list with one host per line, numbered from 1 as in the file."""
-    lines = spark.sparkContext.textFile(path).zipWithIndex()
-    return spark.createDataFrame(lines.map(lambda p: (p[1] + 1, p[0])), SEED_SCHEMA)
+    """A seed list with one host per line, numbered from 1 as in the file.
+
+    Lines of one file keep their order in the splits they are read in. The
+    splits' counts add up to where each begins; within a split lines are numbered
+    as they come.
+    """
+    lines = spark.read.text(path).select(
+        F.monotonically_increasing_id().alias("_id"), F.col("value").alias("netloc")
+    )
+    # The upper bits of the id are the split's number, the lower count its lines.
+    split = F.shiftright("_id", 33)
+    counts = lines.groupBy(split.alias("_split")).agg(F.count("*").alias("_n"))
+    earlier = Window.orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_split", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    number = F.col("_start") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    joined = lines.withColumn("_split", split).join(starts, "_split")
+    return joined.select(number.alias("txt_line_num"), "netloc")
 
 
 def read_csv(
