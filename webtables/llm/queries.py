@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from webtables.llm import bagminhash, bpe, chat, decontaminate, langmask, lengths, multiset, ordinal, simple8b, wrappers
-from webtables.llm.common import shared_folder, table
+from webtables.llm.common import materialise, shared_folder, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -44,7 +44,8 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lengths.context_limits(lengths.histogram(table(spark, sf_dir, "documents"), BYTE_BPE))
+    # Written once, as the sums over it read it twice.
+    return lengths.context_limits(materialise(lengths.histogram(table(spark, sf_dir, "documents"), BYTE_BPE)))
 
 
 def op9_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
