@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 TAXONOMY_SCHEMA = (
     "category string, subcategory string, topic string, topic_ord int, keywords array<string>"
@@ -48,9 +48,17 @@ def taxonomy(
         for subcategory, topics in subcategories.items()
         for topic in topics
     ]
-    return spark.createDataFrame(
-        [(*row, i, keywords.get(row[2])) for i, row in enumerate(rows)], TAXONOMY_SCHEMA
-    )
+
+    def entry(row: tuple[str, str, str], i: int) -> Column:
+        words = keywords.get(row[2])
+        listed = F.lit(None) if words is None else F.array(*[F.lit(w) for w in words])
+        names = [f.split()[0] for f in TAXONOMY_SCHEMA.split(", ")]
+        values = [*map(F.lit, row), F.lit(i), listed.cast("array<string>")]
+        return F.struct(*[v.alias(n) for v, n in zip(values, names, strict=True)])
+
+    # As literals, so that Spark knows the table's size when it plans joins with it.
+    entries = F.array(*[entry(row, i) for i, row in enumerate(rows)])
+    return spark.range(1).select(F.inline(entries))
 
 
 def unmapped_topics(topics: DataFrame) -> DataFrame:
