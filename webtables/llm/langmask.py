@@ -164,7 +164,10 @@ def counted(training: DataFrame) -> DataFrame:
             langs = np.repeat(np.array(part["lang"].to_pylist(), object), np.diff(bounds))
             for name in set(part["lang"].to_pylist()):
                 uses = np.bincount(index[langs == name], minlength=len(distinct))[owner]
-                gram, count = hashes[uses > 0], uses[uses > 0]
+                # Hashing finds equal n-grams faster than sorting; few are left to be sorted.
+                coded = pa.array(hashes[uses > 0]).dictionary_encode()
+                gram = coded.dictionary.to_numpy()
+                count = np.bincount(coded.indices.to_numpy(), uses[uses > 0], len(gram))
                 if name in held:
                     gram = np.concatenate([held[name][0], gram])
                     count = np.concatenate([held[name][1], count])
