@@ -411,9 +411,9 @@ def _(spark, sf):
 def _(spark, sf):
     from webtables.operators.evaluate import evidence_counts
 
-    # Pages carry pieces by their number here, and errors are by the URLs they were given.
-    given = inputs.table(spark, sf, "pages").select("page_id", "url")
-    pages = inputs.shop_pages(spark, sf).drop("url").join(given, "page_id")
+    # Under the URLs they were given, which the errors name.
+    shown = F.concat("html", inputs.pick(inputs.PIECES)).alias("html")
+    pages = inputs.pages(spark, sf).select("page_id", "url", shown)
     return evidence_counts(pages, inputs.errors(spark, sf))
 
 

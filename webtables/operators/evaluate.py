@@ -168,7 +168,8 @@ def with_error(table: DataFrame) -> DataFrame:
 
 def evidence_counts(pages: DataFrame, errors: DataFrame) -> DataFrame:
     """Number of pages that show each sign of card support, sites with an error apart."""
-    tagged = with_tags(pages.join(errors.select("url"), "url", "left_anti"), ("payment",))
     signs = ecommerce.card_evidence(F.col("tags"), F.col("html"))
-    flags = tagged.select(*[sign.alias(name) for name, sign in signs.items()])
-    return flags.agg(*[F.count_if(F.col(name)).alias(name) for name in signs])
+    flags = with_tags(pages, ("payment",)).select("url", *[s.alias(name) for name, s in signs.items()])
+    # The pages themselves stay where they are; only their flags meet the errors.
+    usable = flags.join(errors.select("url"), "url", "left_anti")
+    return usable.agg(*[F.count_if(F.col(name)).alias(name) for name in signs])
