@@ -34,6 +34,8 @@ GRADES = 3
 PREFIXES = (3, 4, 5, 7)
 #: Bound of the labelled documents that the model is fitted on.
 TRAIN_ROWS = 12_000
+#: Rows whose features a step of the fit sums at a time.
+FIT_ROWS = 1000
 #: Documents pass if the probability of the best grade is at least this.
 SELECT = 0.5
 
@@ -111,9 +113,11 @@ def fit(
     # Features of very few documents tell nothing.
     common = np.bincount(flat, minlength=DIMENSION) >= max(2, n // 1000)
     keep = common[flat] | np.isin(np.arange(len(flat)), bounds[:-1])
-    row = np.repeat(np.arange(n), np.diff(bounds))[keep]
+    row = np.repeat(np.arange(n, dtype=np.int32), np.diff(bounds))[keep]
     flat = flat[keep]
     bounds = np.searchsorted(row, np.arange(n + 1))
+    # Sums over the features go chunk by chunk, so that no copy of all is needed.
+    chunks = [(a, min(n, a + FIT_ROWS)) for a in range(0, n, FIT_ROWS)]
     share = np.bincount(grade, minlength=GRADES) + 1.0
     # Each grade weighs as the root of its share, so that rare grades count.
     cost = np.sqrt(share.sum() / share / GRADES)[grade]
@@ -124,7 +128,9 @@ def fit(
     k = np.arange(GRADES - 1)
     low, high = grade > 0, grade < GRADES - 1
     for step in range(1, rounds + 1):
-        s = np.add.reduceat(weights[flat], bounds[:-1])
+        s = np.concatenate(
+            [np.add.reduceat(weights[flat[bounds[a] : bounds[b]]], bounds[a:b] - bounds[a]) for a, b in chunks]
+        )
         p = 1 / (1 + np.exp(-np.clip(s[:, None] - cuts, -30, 30)))
         upper = np.where(low, p[np.arange(n), np.maximum(grade - 1, 0)], 1.0)
         lower = np.where(high, p[np.arange(n), np.minimum(grade, GRADES - 2)], 0.0)
@@ -134,7 +140,11 @@ def fit(
         of_cuts = np.array(
             [(cost * np.where(grade - 1 == c, up, 0) / mass - cost * np.where(grade == c, down, 0) / mass).sum() for c in k]
         )
-        slopes = [np.bincount(flat, weights=slope_s[row], minlength=DIMENSION) / n + ridge * weights, of_cuts / n]
+        slope = ridge * weights
+        for a, b in chunks:
+            part = slice(bounds[a], bounds[b])
+            slope += np.bincount(flat[part], weights=slope_s[row[part]], minlength=DIMENSION) / n
+        slopes = [slope, of_cuts / n]
         for i, (value, rate) in enumerate(((weights, 0.03), (cuts, 0.03))):
             first[i] = 0.9 * first[i] + 0.1 * slopes[i]
             second[i] = 0.99 * second[i] + 0.01 * slopes[i] ** 2
