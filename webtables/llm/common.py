@@ -78,13 +78,14 @@ def filtered(
     documents: DataFrame,
     passes: Callable[[list[str | None], Any], np.ndarray],
     cache: Callable[[], Any],
+    limit: int = SLICE_BYTES,
     column: str = "text",
 ) -> DataFrame:
     """The rows, with their columns as they are, whose text passes; a task has one cache."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = cache()
-        for part in slices(batches, column):
+        for part in slices(batches, column, limit):
             yield part.filter(pa.array(passes(part[column].to_pylist(), own), pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)

@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from webtables.llm.common import extended, extended_schema, filtered, mix, slices
+from webtables.llm.common import extended, extended_schema, filtered, materialise, mix, slices
 
 LENGTHS = (1, 2, 3, 4)
 #: A language holds at most 1 / MIN_SHARE n-grams, which bounds the model's size.
@@ -37,6 +37,8 @@ PROBES = 3
 SLOTS_PER_GRAM = 16
 #: Distinct n-grams that a task counts before it passes them on.
 HELD_GRAMS = 1 << 20
+#: Text bytes whose n-grams a task holds at a time.
+GRAM_BYTES = 2 << 20
 UNDETERMINED = "und"
 #: The share of n-grams that a language must hold for a document to stay in it.
 LEAST_SCORE = 0.3
@@ -58,16 +60,15 @@ def words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False), bounds
 
 
-def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all n-grams and the text each is from, in no particular order."""
+def grams(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per length, the hashes of all n-grams and the text each is from."""
     lowered = ["\0" + (t or "").lower() + "\0" for t in texts]
     codes = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
-    owner = np.repeat(np.arange(len(texts)), np.fromiter(map(len, lowered), np.int64, len(lowered)))
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), np.fromiter(map(len, lowered), np.int64, len(lowered)))
     letter = letters()[codes]
     keep = letter | np.concatenate([letter[1:], [False]]) | np.concatenate([[False], letter[:-1]])
     # Between two words one edge is enough, and it may be shared.
     codes, owner, letter = np.where(letter, codes, 0)[keep].astype(np.uint64), owner[keep], letter[keep]
-    hashes, owners = [], []
     for n in LENGTHS:
         m = len(codes) - n + 1
         if m <= 0:
@@ -81,11 +82,7 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         value = np.full(m, n, np.uint64)
         for i in range(n):
             value = value * np.uint64(0x100000001B3) + codes[i : i + m]
-        hashes.append(mix(value[inner]))
-        owners.append(owner[:m][inner])
-    if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(hashes), np.concatenate(owners)
+        yield mix(value[inner]), owner[:m][inner]
 
 
 @dataclasses.dataclass(frozen=True)
@@ -127,16 +124,17 @@ class Filters:
         if not self.languages or not len(texts):
             return [UNDETERMINED] * len(texts), np.zeros(len(texts))
         distinct, index, bounds = words(texts)
-        hashes, owner = grams(distinct)
-        bits = self.masks(hashes)
-
-        def per_text(of_gram: np.ndarray | None) -> np.ndarray:
-            of_word = np.bincount(owner, weights=of_gram, minlength=len(distinct))
-            sums = np.concatenate([[0], np.cumsum(of_word[index])])[bounds]
-            return np.diff(sums)
-
-        total = per_text(None)
-        hits = np.stack([per_text(self.bit(bits, i).astype(np.float64)) for i in range(len(self.languages))])
+        # Row i counts the n-grams that language i holds, the last row all.
+        of_word = np.zeros((len(self.languages) + 1, len(distinct)))
+        for hashes, owner in grams(distinct):
+            bits = self.masks(hashes)
+            for i in range(len(self.languages)):
+                of_word[i] += np.bincount(owner[self.bit(bits, i) > 0], minlength=len(distinct))
+            of_word[-1] += np.bincount(owner, minlength=len(distinct))
+        sums = np.zeros((len(of_word), len(index) + 1))
+        np.cumsum(of_word[:, index], axis=1, out=sums[:, 1:])
+        *hits, total = np.diff(sums[:, bounds], axis=1)
+        hits = np.stack(hits)
         wrong = self.false_positives[:, None]
         true = np.clip((hits - total * wrong) / np.maximum(1 - wrong, 1e-9), 0, None)
         best = true.argmax(axis=0)
@@ -158,21 +156,21 @@ def counted(training: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["lang", "gram", "n"])
             held.clear()
 
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", GRAM_BYTES):
             distinct, index, bounds = words(part["text"])
-            hashes, owner = grams(distinct)
             langs = np.repeat(np.array(part["lang"].to_pylist(), object), np.diff(bounds))
             for name in set(part["lang"].to_pylist()):
-                uses = np.bincount(index[langs == name], minlength=len(distinct))[owner]
-                # Hashing finds equal n-grams faster than sorting; few are left to be sorted.
-                coded = pa.array(hashes[uses > 0]).dictionary_encode()
-                gram = coded.dictionary.to_numpy()
-                count = np.bincount(coded.indices.to_numpy(), uses[uses > 0], len(gram))
-                if name in held:
-                    gram = np.concatenate([held[name][0], gram])
-                    count = np.concatenate([held[name][1], count])
-                gram, at = np.unique(gram, return_inverse=True)
-                held[name] = (gram, np.bincount(at, count, len(gram)).astype(np.int64))
+                of_word = np.bincount(index[langs == name], minlength=len(distinct))
+                found = [held[name]] if name in held else []
+                for hashes, owner in grams(distinct):
+                    uses = of_word[owner]
+                    # Hashing finds equal n-grams faster than sorting; few are left to be sorted.
+                    coded = pa.array(hashes[uses > 0]).dictionary_encode()
+                    count = np.bincount(coded.indices.to_numpy(), uses[uses > 0], len(coded.dictionary))
+                    found.append((coded.dictionary.to_numpy(), count))
+                gram, at = np.unique(np.concatenate([g for g, _ in found]), return_inverse=True)
+                count = np.bincount(at, np.concatenate([c for _, c in found]), len(gram))
+                held[name] = (gram, count.astype(np.int64))
             if sum(len(g) for g, _ in held.values()) > HELD_GRAMS:
                 yield from rows()
         yield from rows()
@@ -186,7 +184,8 @@ def learn(training: DataFrame) -> Filters:
     At most 1 / MIN_SHARE n-grams per language come to the driver.
     """
     known = training.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = counted(known).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    # Written, as the totals and the shares both read them.
+    counts = materialise(counted(known).groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     sums = known.sparkSession.createDataFrame(counts.groupBy("lang").agg(F.sum("n").alias("total")).collect(), "lang string, total bigint")
     shares = counts.join(F.broadcast(sums), "lang").withColumn("share", F.col("n") / F.col("total"))
     frequent = shares.filter(F.col("share") >= MIN_SHARE)
@@ -204,7 +203,7 @@ def identified(documents: DataFrame, filters: Filters) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", GRAM_BYTES):
             names, score = shared.value.predict(part["text"])
             yield extended(part, lang_pred=pa.array(names, pa.string()), score=pa.array(score, pa.float64()))
 
@@ -234,4 +233,4 @@ def recognised(documents: DataFrame, filters: Filters, least: float = LEAST_SCOR
         names, score = shared.value.predict(pa.array(texts, pa.string()))
         return (np.array(names, object) != UNDETERMINED) & (score >= least)
 
-    return filtered(documents, passes, object)
+    return filtered(documents, passes, object, GRAM_BYTES)
