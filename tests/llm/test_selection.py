@@ -74,7 +74,7 @@ def test_filters_return_all_languages():
 
 
 def test_ngrams():
-    hashes, owner = langmask.grams(["Ab", None, "1 2", "ab a"])
+    hashes, owner = (np.concatenate(x) for x in zip(*langmask.grams(["Ab", None, "1 2", "ab a"]), strict=True))
     # a b | _a ab b_ | _ab ab_ | _ab_ and, in the last text, also those of a lone a.
     assert (owner == 0).sum() == 8
     assert not np.isin(owner, [1, 2]).any()
