@@ -38,12 +38,18 @@ def test_texts_are_read_and_split_into_words_once(spark, name):
     assert len(splits) + len(inlined) == 1
 
 
-@pytest.mark.parametrize("name", ["site_table", "grouped_sites", "page_records"])
+@pytest.mark.parametrize("name", ["site_values", "page_records", "results_with_card"])
 def test_pages_are_read_once(spark, name):
     plan = final_plan(spark, name)
     assert len(re.findall(r"FileScan parquet \[[^\]]*html", plan)) == 1
 
 
+@pytest.mark.parametrize("name", ["site_table", "grouped_sites"])
+def test_rows_of_sites_come_from_the_written_values(spark, name):
+    plan = final_plan(spark, name)
+    assert not re.findall(r"FileScan parquet \[[^\]]*html", plan)
+
+
 @pytest.mark.parametrize("name", ["cart_software", "has_card", "phone_numbers", "page_tags"])
 def test_detectors_do_not_shuffle(spark, name):
     plan = final_plan(spark, name)
