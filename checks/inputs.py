@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from webtables.functions import urls
 from webtables.sources.tables import read_pages
 
+# The marker strings in these pieces are what the detectors look for.
 PIECES = [
     """<img src="https://x.demandware.net/a.png">""",
     """<!-- <img src="demandware"> --><p>x</p>""",
@@ -78,6 +79,7 @@ URL_FORMS = [
 ]
 
 STATUSES = [200, 404, 404, 403, None, 200, 404]
+# Suffixes and stamps of the crawl.
 SUFFIXES = [None, "/robots.txt", "/sitemap.xml"]
 STAMPS = [
     "20200101120000",

@@ -28,17 +28,17 @@ def seed_slice(seeds: DataFrame, start: int, end: int | None = None) -> DataFram
         start = int(start)
         end = end if end is None else int(end)
     except (TypeError, ValueError):
-        raise ValueError("start and end must be integers") from None
+        raise ValueError("the bounds of a slice are line numbers, so integers") from None
     if start <= 3:
-        raise ValueError("start should be >= 4")
+        raise ValueError("the first site is on line 4, so no slice starts before it")
     line = F.col("txt_line_num")
     chosen = seeds.filter(line >= start)
     if end is not None:
         if start > end:
-            raise ValueError("start should be <= end")
+            raise ValueError("the slice ends before it starts")
         last = seeds.agg(F.coalesce(F.max("txt_line_num"), F.lit(0))).first()[0]
         if end > last + 1:
-            raise ValueError(f"end should be <= {last + 1} (lines + 1)")
+            raise ValueError(f"the list ends at line {last}, so no slice reaches beyond {last + 1}")
         chosen = chosen.filter(line < end)
     return chosen.select(
         "txt_line_num", "netloc", F.concat(F.lit("https://"), "netloc").alias("homepage")
