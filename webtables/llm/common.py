@@ -17,7 +17,7 @@ from webtables.sources.tables import materialise, shared_folder
 __all__ = ["materialise", "shared_folder"]
 
 #: Text bytes that a task holds as Python objects at a time; one longer text is held alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Text bytes tokenized at a time: the more, the fewer words are met again.
 ENCODE_BYTES = 4 << 20
 #: Entries of a task's word caches, which are emptied when they are full.
