@@ -128,3 +128,17 @@ def test_large_hosts_merge_in_rounds(spark, monkeypatch):
     assert wrappers.infer(wrappers.with_host(pages)).count() == 1
     for r in wrappers.extract(pages).collect():
         assert r.text == "\n\n".join(["a"] + ["b"] * (r.page_id % 3) + ["c"] * (r.page_id % 5))
+
+
+def texts(spark, *rows):
+    """The main text of every (url, html), in order."""
+    pages = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    return [r.text for r in sorted(wrappers.extract(pages).collect(), key=lambda r: r.page_id)]
+
+
+def test_templates_of_a_host_are_told_apart(spark):
+    """Only some pages have article or main; pages without a host mix templates."""
+    first, second = "<p>out</p><article><p>one</p></article>", "<div id=content><p>two</p></div>"
+    teasers = "<div><article><p>card</p></article><article><p>more</p></article></div>"
+    rows = [(url, page) for url in ("http://h/x", None, "/rel") for page in (first, second, teasers)]
+    assert texts(spark, *rows) == ["one", "two", "card\n\nmore"] * 3

@@ -10,7 +10,7 @@ with it and their other slots left out.
 
 An element is no part of an article if it is a menu, footer, form, script or the
 like, or named as an advert, a notice, a sidebar, comments and so on (MARKS). If
-the wrapper has text in an article or main element, only that counts; elsewhere
+a page has such text in an article or main element, only that counts; elsewhere
 repeated groups of nothing but links are menus. Comments, styles and markup never
 count. Text of a block is the text of its inline elements; references are
 decoded, white space becomes one space, blocks are joined by an empty line.
@@ -212,8 +212,8 @@ def folded(nodes: list[Node]) -> list[Node]:
     return out
 
 
-def article_slots(wrapper: Node) -> dict[str, bool]:
-    """Every slot's path in the wrapper, and whether its text belongs to the article."""
+def article_slots(wrapper: Node) -> dict[str, tuple[bool, bool]]:
+    """Every slot's path in the wrapper, whether its text may count, and whether it does so in article or main."""
     found: dict[str, tuple[bool, bool]] = {}
 
     def walk(node: Node, path: list[str], out: bool, main: bool, menu: bool) -> None:
@@ -235,16 +235,20 @@ def article_slots(wrapper: Node) -> dict[str, bool]:
         return bool(slots) and all(slots)
 
     walk(wrapper, [], False, False, False)
-    if any(main for _, main in found.values()):
-        return {path: main for path, (_, main) in found.items()}
-    return {path: keep for path, (keep, _) in found.items()}
+    return found
 
 
-def main_text(page: str | None, slots: dict[str, bool]) -> str:
-    blocks: list[tuple[str, str]] = []
-    read(page or "", lambda path, words: blocks.append((path, words)))
-    kept = [words for path, words in blocks if slots.get(path, False)]
-    return "\n\n".join(kept)
+def main_text(page: str | None, slots: dict[str, tuple[bool, bool]]) -> str:
+    blocks: list[tuple[bool, str]] = []
+
+    def emit(path: str, words: str) -> None:
+        keep, main = slots.get(path, (False, False))
+        if keep:
+            blocks.append((main, words))
+
+    read(page or "", emit)
+    only = any(main for main, _ in blocks)
+    return "\n\n".join(words for main, words in blocks if main or not only)
 
 
 def shapes(pages: DataFrame) -> DataFrame:
@@ -291,7 +295,7 @@ def extract(pages: DataFrame) -> DataFrame:
     joined = placed.join(infer(placed), "host")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, dict[str, bool]] = {}
+        known: dict[str, dict[str, tuple[bool, bool]]] = {}
         for part in slices(batches, "html"):
             texts = []
             for page, wrapper in zip(part["html"].to_pylist(), part["wrapper"].to_pylist(), strict=True):
