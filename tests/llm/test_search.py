@@ -142,3 +142,14 @@ def test_templates_of_a_host_are_told_apart(spark):
     teasers = "<div><article><p>card</p></article><article><p>more</p></article></div>"
     rows = [(url, page) for url in ("http://h/x", None, "/rel") for page in (first, second, teasers)]
     assert texts(spark, *rows) == ["one", "two", "card\n\nmore"] * 3
+
+
+def test_deep_elements_close_and_leave_out(spark):
+    """Elements opened below DEPTH end with their own tags, and still count as what they are."""
+    many = 70 * "<div>", 70 * "</div>"
+    after = "<div id=page><main>{}<p>deep</p>{}<p>after</p></main><p>out</p></div>".format(*many)
+    nav = "{}<nav>menu<div>menu</div></nav><form><p>form</p></form><p>deep</p>{}<p>after</p>".format(*many)
+    main = "{}<main><p>deep</p></main><p>out</p>{}<p>out</p>".format(*many)
+    flat = "<div>x" * 20_000
+    found = texts(spark, ("http://h/x", after), ("http://h/x", nav), ("http://h/x", main), ("http://i/x", flat))
+    assert found == ["deep\n\nafter", "deep\n\nafter", "deep", "\n\n".join("x" * 20_000)]

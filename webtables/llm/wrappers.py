@@ -5,8 +5,8 @@ kind, or of two or three kinds in turn, fold into one repeated group, whose
 members are aligned with each other. The distinct structures of one host are
 then aligned one after the other: what only some of them have becomes optional.
 So a wrapper is a regular expression without unions over elements and slots.
-From a host's wrapper follows which slots hold the article; pages are read again
-with it and their other slots left out.
+From a host's wrapper follows which slots are menus; pages are read again with it
+and what is no part of the article is left out.
 
 An element is no part of an article if it is a menu, footer, form, script or the
 like, or named as an advert, a notice, a sidebar, comments and so on (MARKS). If
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import html
 import json
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -35,7 +36,7 @@ from webtables.llm.common import extended, extended_schema, materialise, slices
 from webtables.operators.skew import join_summary
 
 GROUP = 256
-#: Elements nested deeper than this count as part of the element at this depth.
+#: A wrapper has the text of elements nested deeper than this at this depth; what they leave out still holds.
 DEPTH = 60
 TOKEN = regex.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>"
@@ -72,10 +73,14 @@ HOLDERS = frozenset("ul ol dl table article main section div body html td nav as
 Node = list
 
 
-def read(page: str, emit: Callable[[str, str], None] | None = None) -> Node:
-    """The page's structure; ``emit`` gets the path and the text of every slot."""
+def read(page: str, emit: Callable[[str, bool, bool, str], None] | None = None) -> Node:
+    """The page's structure; ``emit`` gets every slot's path, whether an element around it
+    is left out, whether one is article or main, and its text."""
     root: Node = ["", False, False, []]
-    stack, path = [root], [""]
+    # Name, kind and node of the open elements; below DEPTH, the node is the one at DEPTH.
+    stack: list[tuple[str, str, Node]] = [("", "", root)]
+    path = [""]
+    opened: Counter[str] = Counter()  # open elements by name, and as "!" those left out
     text: list[str] = []
     links = [0, False, False]  # depth of open links, whether text is inside one, outside one
 
@@ -89,17 +94,31 @@ def read(page: str, emit: Callable[[str, str], None] | None = None) -> Node:
         words = " ".join("".join(text).split())
         text.clear()
         if words:
-            slot = "#" if links[2] else "#a"
-            stack[-1][3].append([slot, False, False, []])
+            slot, out = "#" if links[2] else "#a", opened["!"] > 0
+            if len(stack) <= DEPTH or not out:
+                stack[-1][2][3].append([slot, False, False, []])
             if emit:
-                emit("/".join([*path, slot]), words)
+                emit("/".join([*path, slot]), out, any(opened[kind] for kind in MAIN), words)
         links[1] = links[2] = False
 
+    def open_(name: str, out: bool) -> None:
+        kind, node = name + "!" if out else name, stack[-1][2]
+        if len(stack) < DEPTH:
+            node[3].append([kind, False, False, []])
+            node = node[3][-1]
+            path.append(kind)
+        stack.append((name, kind, node))
+        opened[name] += 1
+        opened["!"] += out
+
     def close() -> None:
         end_block()
-        node = stack.pop()
-        path.pop()
-        node[3] = folded(node[3])
+        name, kind, node = stack.pop()
+        opened[name] -= 1
+        opened["!"] -= kind[-1] == "!"
+        if len(stack) < DEPTH:
+            path.pop()
+            node[3] = folded(node[3])
 
     at, n = 0, len(page)
     while at < n:
@@ -122,7 +141,7 @@ def read(page: str, emit: Callable[[str, str], None] | None = None) -> Node:
             if name == "a":
                 links[0] = max(0, links[0] + (-1 if closing else 1))
             marked = not closing and (bool(HIDDEN.search(attributes)) or marks(attributes))
-            if not marked and not any(node[0].startswith(name + "!") for node in stack[1:]):
+            if not marked and not opened[name]:
                 continue
         if name in VOID:
             if name == "br":
@@ -131,23 +150,18 @@ def read(page: str, emit: Callable[[str, str], None] | None = None) -> Node:
                 end_block()
             continue
         if closing:
-            kinds = [node[0].rstrip("!") for node in stack]
-            if name in kinds:
-                while stack[-1][0].rstrip("!") != name:
+            if opened[name]:
+                while stack[-1][0] != name:
                     close()
                 close()
             continue
         end_block()
         gone = CLOSES.get(name, {"p"})
-        while len(stack) > 1 and stack[-1][0].rstrip("!") in gone and stack[-1][0].rstrip("!") not in HOLDERS - {"td"}:
+        while len(stack) > 1 and stack[-1][0] in gone and stack[-1][0] not in HOLDERS - {"td"}:
             close()
-        inside = any(node[0] in MAIN for node in stack)
+        inside = any(opened[kind] for kind in MAIN)
         out = name in LEFT_OUT or marks(attributes) or HIDDEN.search(attributes) or (name == "header" and not inside)
-        if len(stack) < DEPTH:
-            kind = name + "!" if out and name not in ("html", "body") else name
-            stack[-1][3].append([kind, False, False, []])
-            stack.append(stack[-1][3][-1])
-            path.append(kind)
+        open_(name, bool(out) and name not in ("html", "body"))
     while len(stack) > 1:
         close()
     end_block()
@@ -212,38 +226,34 @@ def folded(nodes: list[Node]) -> list[Node]:
     return out
 
 
-def article_slots(wrapper: Node) -> dict[str, tuple[bool, bool]]:
-    """Every slot's path in the wrapper, whether its text may count, and whether it does so in article or main."""
-    found: dict[str, tuple[bool, bool]] = {}
+def menus(wrapper: Node) -> set[str]:
+    """Paths of the wrapper's slots that are only in repeated groups of nothing but links."""
+    found: dict[str, bool] = {}
 
-    def walk(node: Node, path: list[str], out: bool, main: bool, menu: bool) -> None:
+    def walk(node: Node, path: list[str], menu: bool) -> None:
         kind = node[0]
         if kind in ("#", "#a"):
             key = "/".join([*path, kind])
-            keep = not out and not (menu and not main)
-            known = found.get(key, (False, False))
-            found[key] = (known[0] or keep, known[1] or (main and keep))
+            found[key] = found.get(key, True) and menu
             return
         path = path if kind == "&" else [*path, kind]
-        out, main = out or kind.endswith("!"), main or kind in MAIN
         menu = menu or (node[2] and linked(node))
         for child in node[3]:
-            walk(child, path, out, main, menu)
+            walk(child, path, menu)
 
     def linked(node: Node) -> bool:
         slots = [s for c in node[3] for s in ([c[0] == "#a"] if c[0][:1] == "#" else [linked(c)] if c[3] else [])]
         return bool(slots) and all(slots)
 
-    walk(wrapper, [], False, False, False)
-    return found
+    walk(wrapper, [], False)
+    return {path for path, menu in found.items() if menu}
 
 
-def main_text(page: str | None, slots: dict[str, tuple[bool, bool]]) -> str:
+def main_text(page: str | None, menu: set[str]) -> str:
     blocks: list[tuple[bool, str]] = []
 
-    def emit(path: str, words: str) -> None:
-        keep, main = slots.get(path, (False, False))
-        if keep:
+    def emit(path: str, out: bool, main: bool, words: str) -> None:
+        if not out and (main or path not in menu):
             blocks.append((main, words))
 
     read(page or "", emit)
@@ -295,14 +305,14 @@ def extract(pages: DataFrame) -> DataFrame:
     joined = placed.join(infer(placed), "host")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, dict[str, tuple[bool, bool]]] = {}
+        known: dict[str, set[str]] = {}
         for part in slices(batches, "html"):
             texts = []
             for page, wrapper in zip(part["html"].to_pylist(), part["wrapper"].to_pylist(), strict=True):
                 if wrapper not in known:
                     if len(known) >= 1000:
                         known.clear()
-                    known[wrapper] = article_slots(json.loads(wrapper))
+                    known[wrapper] = menus(json.loads(wrapper))
                 texts.append(main_text(page, known[wrapper]))
             counts = pa.array([len(t) for t in texts], pa.int64())
             yield extended(part.select(["page_id", "url"]), text=pa.array(texts, pa.string()), n_chars=counts)
