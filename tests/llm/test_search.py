@@ -153,3 +153,23 @@ def test_deep_elements_close_and_leave_out(spark):
     flat = "<div>x" * 20_000
     found = texts(spark, ("http://h/x", after), ("http://h/x", nav), ("http://h/x", main), ("http://i/x", flat))
     assert found == ["deep\n\nafter", "deep\n\nafter", "deep", "\n\n".join("x" * 20_000)]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<article><section id=discussion><h2 id=related-work>A</h2><p>B</p></section></article>",
+        "<article class='post category-social'><p>A</p><p>B</p></article>",
+        "<article class='post comments-open comments'><header class=entry-header><h1>A</h1></header><p>B</p></article>",
+        "<article><div class=header><h1>A</h1></div><p>B</p></article>",
+        "<div class='content with-sidebar'><h1 class=header>A</h1><p>B</p></div><div class='sidebar no-sidebar'>s</div>",
+        "<div class='no-sidebar'><p>A</p><section id=search><p>B</p></section></div><div class=site-footer>f</div>",
+        "<form><h1>A</h1><p>B</p><div class=comment-list><p>longer than A and B</p></div></form>",
+        "<div class=sidebar><h1>A</h1><p>B</p></div>",
+        "<div title='the hidden cost'><p data-x=hidden>A</p></div><p style='overflow: hidden !important'>B</p><p hidden>c</p>",
+        "<p class='not hidden'>A</p><p>B</p><p style='color:red;display :none'>c</p><p aria-hidden=true>c</p><div HIDDEN=''>c</div>",
+        "<p>A</p><p>B</p><div class=ad-slot-2>c</div><div id=cookie_banner>c</div><div role=search>c</div><div class='x related-posts'>c</div>",
+    ],
+)
+def test_names_leave_out_no_more_than_they_say(page):
+    assert wrappers.main_text(page, wrappers.menus(wrappers.read(page))) == "A\n\nB"

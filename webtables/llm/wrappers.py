@@ -8,8 +8,11 @@ So a wrapper is a regular expression without unions over elements and slots.
 From a host's wrapper follows which slots are menus; pages are read again with it
 and what is no part of the article is left out.
 
-An element is no part of an article if it is a menu, footer, form, script or the
-like, or named as an advert, a notice, a sidebar, comments and so on (MARKS). If
+An element is no part of an article if it is hidden, a menu, footer, form, script
+or the like, or named as an advert, a notice, a sidebar, comments and so on. A name
+counts as a whole: all its words are MARKS or BESIDE them. Names never leave out
+article, main or a heading, and, but for comments, neither names nor forms leave
+out what holds most of a page's text. If
 a page has such text in an article or main element, only that counts; elsewhere
 repeated groups of nothing but links are menus. Comments, styles and markup never
 count. Text of a block is the text of its inline elements; references are
@@ -43,18 +46,33 @@ TOKEN = regex.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
     regex.S,
 )
-NAMES = regex.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", regex.I)
-HIDDEN = regex.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", regex.I)
-#: Words in class, id or role that mark an element as no part of an article.
-MARKS = regex.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w*|adslot|sponsor\w*|promo\w*|banner|menu|nav|navbar|navigation"
-    r"|breadcrumbs?|sidebar|aside|complementary|footer|contentinfo|masthead|header|topbar|comments?|commentlist"
-    r"|replies|reply|respond|disqus|discussion|cookies?|consent|gdpr|notices?|alert|popup|modal|dialog"
-    r"|overlay|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|widget|toolbar"
-    r"|pagination|pager|skip)(?:$|[\s_-])",
-    regex.I,
+ATTRIBUTE = regex.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+UNSEEN = regex.compile(r"(?:^|;)\s*display\s*:\s*none", regex.I)
+#: Words of a name in class, id or role that mark an element as no part of an article.
+MARKS = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adslot sponsor sponsored sponsors promo promos"
+    " promotion banner banners menu menus nav navbar navigation breadcrumb breadcrumbs sidebar sidebars aside"
+    " complementary footer contentinfo masthead header topbar comment comments commentlist replies reply respond disqus"
+    " cookie cookies consent gdpr notice notices alert alerts popup modal dialog overlay share sharing social related"
+    " recommended newsletter subscribe signup login search widget widgets toolbar pagination pager skip".split()
 )
-LEFT_OUT = frozenset("head nav footer aside form dialog menu button select noscript template svg iframe object".split())
+#: Words that may stand beside them; a name with any other word (entry-header, with-sidebar) marks nothing.
+BESIDE = frozenset(
+    "site main primary secondary global top bottom left right sticky fixed mobile desktop block box bar area container"
+    " wrapper wrap inner outer section list link links button buttons icon icons item items post posts article articles"
+    " story stories form slot unit thread policy banner text title body google dfp to".split()
+)
+#: Marks that may as well name what a part of an article is about, if they are all of its id.
+TOPICS = MARKS - frozenset(
+    "adslot nav navbar navigation breadcrumb breadcrumbs sidebar sidebars aside footer masthead header topbar comments"
+    " commentlist replies respond disqus toolbar pagination pager".split()
+)
+#: Marks of other authors' texts, which may be longer than the article.
+REPLIES = frozenset("comment comments commentlist replies reply respond disqus".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Marks that within an article may hold its title.
+TOPS = frozenset("header masthead banner".split())
+LEFT_OUT = frozenset("head nav footer aside dialog menu button select noscript template svg iframe object".split())
 RAW = frozenset("script style textarea title xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
@@ -76,11 +94,31 @@ Node = list
 def read(page: str, emit: Callable[[str, bool, bool, str], None] | None = None) -> Node:
     """The page's structure; ``emit`` gets every slot's path, whether an element around it
     is left out, whether one is article or main, and its text."""
+    slots: list[tuple[str, bool, bool, str]] = []
+    root, whole = read_once(page, slots, frozenset())
+    if whole:
+        slots.clear()
+        root, _ = read_once(page, slots, whole)
+    if emit:
+        for slot in slots:
+            emit(*slot)
+    return root
+
+
+def read_once(
+    page: str, slots: list[tuple[str, bool, bool, str]], whole: frozenset[int]
+) -> tuple[Node, frozenset[int]]:
+    """As ``read``, without leaving out elements (by their number) in ``whole``; also the numbers
+    of those left out by name or as forms that hold most of the page's text."""
     root: Node = ["", False, False, []]
     # Name, kind and node of the open elements; below DEPTH, the node is the one at DEPTH.
     stack: list[tuple[str, str, Node]] = [("", "", root)]
     path = [""]
     opened: Counter[str] = Counter()  # open elements by name, and as "!" those left out
+    # Where elements that may hold most of the text start: number, size of stack and of text so far.
+    held: list[tuple[int, int, int]] = []
+    sizes: dict[int, int] = {}
+    said_so_far = number = 0
     text: list[str] = []
     links = [0, False, False]  # depth of open links, whether text is inside one, outside one
 
@@ -91,14 +129,15 @@ def read(page: str, emit: Callable[[str, bool, bool, str], None] | None = None)
                 links[1 if links[0] else 2] = True
 
     def end_block() -> None:
+        nonlocal said_so_far
         words = " ".join("".join(text).split())
         text.clear()
         if words:
             slot, out = "#" if links[2] else "#a", opened["!"] > 0
             if len(stack) <= DEPTH or not out:
                 stack[-1][2][3].append([slot, False, False, []])
-            if emit:
-                emit("/".join([*path, slot]), out, any(opened[kind] for kind in MAIN), words)
+            slots.append(("/".join([*path, slot]), out, any(opened[kind] for kind in MAIN), words))
+            said_so_far += len(words)
         links[1] = links[2] = False
 
     def open_(name: str, out: bool) -> None:
@@ -114,6 +153,9 @@ def read(page: str, emit: Callable[[str, bool, bool, str], None] | None = None)
     def close() -> None:
         end_block()
         name, kind, node = stack.pop()
+        if held and held[-1][1] == len(stack):
+            which, _, before = held.pop()
+            sizes[which] = said_so_far - before
         opened[name] -= 1
         opened["!"] -= kind[-1] == "!"
         if len(stack) < DEPTH:
@@ -140,8 +182,8 @@ def read(page: str, emit: Callable[[str, bool, bool, str], None] | None = None)
         if name in INLINE:
             if name == "a":
                 links[0] = max(0, links[0] + (-1 if closing else 1))
-            marked = not closing and (bool(HIDDEN.search(attributes)) or marks(attributes))
-            if not marked and not opened[name]:
+            out = not closing and any(marked(name, attributes, any(opened[kind] for kind in MAIN)))
+            if not out and not opened[name]:
                 continue
         if name in VOID:
             if name == "br":
@@ -160,17 +202,41 @@ def read(page: str, emit: Callable[[str, bool, bool, str], None] | None = None)
         while len(stack) > 1 and stack[-1][0] in gone and stack[-1][0] not in HOLDERS - {"td"}:
             close()
         inside = any(opened[kind] for kind in MAIN)
-        out = name in LEFT_OUT or marks(attributes) or HIDDEN.search(attributes) or (name == "header" and not inside)
+        hidden, names = marked(name, attributes, inside)
+        out = name in LEFT_OUT or hidden or (name == "header" and not inside)
+        if not out and (names or name == "form"):
+            number += 1
+            out = number not in whole
+            if out and not names & REPLIES:
+                held.append((number, len(stack), said_so_far))
         open_(name, bool(out) and name not in ("html", "body"))
     while len(stack) > 1:
         close()
     end_block()
     root[3] = folded(root[3])
-    return root
-
-
-def marks(attributes: str) -> bool:
-    return any(MARKS.search(a or b or c) for a, b, c in NAMES.findall(attributes))
+    return root, frozenset(which for which, size in sizes.items() if 2 * size > said_so_far)
+
+
+def marked(name: str, attributes: str, inside: bool) -> tuple[bool, set[str]]:
+    """Whether the element is hidden, and the MARKS in its names; ``inside`` of article or main."""
+    if not attributes or attributes.isspace():
+        return False, set()
+    hidden, found = False, set()
+    for key, *values in ATTRIBUTE.findall(attributes):
+        key, value = key.lower(), "".join(values)
+        if key == "hidden" or (key == "aria-hidden" and value.strip().lower() == "true"):
+            hidden = True
+        elif key == "style":
+            hidden = hidden or bool(UNSEEN.search(value))
+        elif key in ("class", "id", "role") and name not in HEADINGS and name not in MAIN:
+            for token in value.lower().split():
+                words = [w for w in regex.split(r"[_-]+", token) if w and not regex.fullmatch(r"\d+(?:x\d+)?", w)]
+                own = MARKS.intersection(words)
+                if own and own.union(BESIDE).issuperset(words) and not (key == "id" and token in TOPICS):
+                    found |= own
+    if inside:
+        found -= TOPS
+    return hidden, found - REPLIES if name in INLINE else found
 
 
 def aligned(a: list[Node], b: list[Node]) -> list[Node]:
