@@ -173,3 +173,16 @@ def test_deep_elements_close_and_leave_out(spark):
 )
 def test_names_leave_out_no_more_than_they_say(page):
     assert wrappers.main_text(page, wrappers.menus(wrappers.read(page))) == "A\n\nB"
+
+
+def test_texts_constant_over_a_host_are_left_out(spark):
+    """Outside article and main; neither captures of one url nor copies of a page count twice."""
+    page = "<div>We use c.</div><div><p>T{0}</p><p>Same</p></div><div>By us</div>"
+    rows = [(f"http://h/{i}", page.format(i)) for i in range(4)] + [("http://h/9", "<div><p>Same</p></div><p>By us</p>")]
+    assert texts(spark, *rows) == ["T0", "T1", "T2", "T3", "By us"]
+    once = [("http://h/x", page.format(i)) for i in range(4)] + [(f"http://i/{i}", page.format(0)) for i in range(4)]
+    assert texts(spark, *once) == [f"We use c.\n\nT{i}\n\nSame\n\nBy us" for i in (0, 1, 2, 3, 0, 0, 0, 0)]
+    few = [(f"http://h/{i}", "<p>Odd</p>" * (i < 3) + f"<p>p{i}</p>") for i in range(6)]
+    assert texts(spark, *few) == ["Odd\n\np0", "Odd\n\np1", "Odd\n\np2", "p3", "p4", "p5"]
+    inside = [(f"http://h/{i}", f"<main><p>Same</p><p>T{i}</p></main>") for i in range(4)]
+    assert texts(spark, *inside) == [f"Same\n\nT{i}" for i in range(4)]

@@ -5,8 +5,11 @@ kind, or of two or three kinds in turn, fold into one repeated group, whose
 members are aligned with each other. The distinct structures of one host are
 then aligned one after the other: what only some of them have becomes optional.
 So a wrapper is a regular expression without unions over elements and slots.
-From a host's wrapper follows which slots are menus; pages are read again with it
-and what is no part of the article is left out.
+From a host's wrapper follows which slots are menus, and from counts of equal texts
+at equal paths, which texts are constant; pages are read again with both, and what
+is no part of the article is left out. Slots are found by their tag path: pages are
+not matched against the wrapper's groups and optional elements, and texts are
+compared by counting and not as tokens of the alignment.
 
 An element is no part of an article if it is hidden, a menu, footer, form, script
 or the like, or named as an advert, a notice, a sidebar, comments and so on. A name
@@ -28,17 +31,20 @@ from __future__ import annotations
 import html
 import json
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Container, Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from webtables.llm.common import extended, extended_schema, materialise, slices
 from webtables.operators.skew import join_summary
 
 GROUP = 256
+#: Distinct pages of a host that a constant text is on, at least.
+SEVERAL = 3
 #: A wrapper has the text of elements nested deeper than this at this depth; what they leave out still holds.
 DEPTH = 60
 TOKEN = regex.compile(
@@ -315,11 +321,12 @@ def menus(wrapper: Node) -> set[str]:
     return {path for path, menu in found.items() if menu}
 
 
-def main_text(page: str | None, menu: set[str]) -> str:
+def main_text(page: str | None, menu: set[str], constant: Container[bytes] = ()) -> str:
+    """The page's article, by the wrapper's menus and the keys of the host's constant texts."""
     blocks: list[tuple[bool, str]] = []
 
     def emit(path: str, out: bool, main: bool, words: str) -> None:
-        if not out and (main or path not in menu):
+        if not out and (main or (path not in menu and (not constant or key_of(path, words) not in constant))):
             blocks.append((main, words))
 
     read(page or "", emit)
@@ -327,17 +334,49 @@ def main_text(page: str | None, menu: set[str]) -> str:
     return "\n\n".join(words for main, words in blocks if main or not only)
 
 
+def key_of(path: str, words: str = "") -> bytes:
+    """A text at a path; without the text, the path. Paths come first, so that a path's keys share their start."""
+    both = xxhash.xxh3_64_digest(path.encode("utf-8", "surrogatepass"))
+    return both + xxhash.xxh3_64_digest(words.encode("utf-8", "surrogatepass")) if words else both
+
+
 def shapes(pages: DataFrame) -> DataFrame:
-    """host and wrapper (JSON) of the distinct structures."""
+    """Of the pages of a host with distinct blocks: host, wrapper (JSON), keys of the texts that
+    may be constant, and page, which is the same for captures of one url."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "html"):
-            found = [json.dumps(read(page or ""), separators=(",", ":")) for page in part["html"].to_pylist()]
-            rows = set(zip(part["host"].to_pylist(), found, strict=True))
-            hosts, wrappers = [h for h, _ in rows], [w for _, w in rows]
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(wrappers)], names=["host", "wrapper"])
-
-    return pages.select("host", "html").mapInArrow(run, "host string, wrapper string").distinct()
+            rows = []
+            for url, host, page in zip(*(part[c].to_pylist() for c in ("url", "host", "html")), strict=True):
+                blocks: list[tuple[str, bool, bool, str]] = []
+                wrapper = json.dumps(read(page or "", lambda *block: blocks.append(block)), separators=(",", ":"))
+                keys = sorted({key_of(path, words) for path, out, main, words in blocks if not out and not main})
+                digest = xxhash.xxh3_128_digest(repr((wrapper, blocks)).encode("utf-8", "surrogatepass"))
+                own = digest if url is None else xxhash.xxh3_128_digest(url.encode("utf-8", "surrogatepass"))
+                rows.append((host, digest, own, wrapper, keys))
+            kinds = pa.string(), pa.binary(), pa.binary(), pa.string(), pa.list_(pa.binary())
+            columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=["host", "digest", "page", "wrapper", "keys"])
+
+    schema = "host string, digest binary, page binary, wrapper string, keys array<binary>"
+    found = pages.select("url", "host", "html").mapInArrow(run, schema)
+    first = F.min(F.struct("page", "wrapper", "keys")).alias("first")
+    return found.groupBy("host", "digest").agg(first).select("host", "first.*")
+
+
+def constants(shaped: DataFrame) -> DataFrame:
+    """Per host, the keys of the texts that are constant: host, constant.
+
+    A text is, if at least SEVERAL pages and over half of the pages with text at its
+    path have it there. So a host has at most twice as many as a page has texts.
+    """
+    texts = shaped.select("host", "page", F.explode("keys").alias("key")).distinct()
+    counts = texts.groupBy("host", "key").agg(F.count("*").alias("n"))
+    place = F.struct("host", F.substring("key", 1, 8).alias("path")).alias("place")
+    often = counts.filter(F.col("n") >= SEVERAL).select(place, "key", "n")
+    paths = texts.select(place, "page").distinct().groupBy("place").agg(F.count("*").alias("pages"))
+    kept = join_summary(often, paths, "place", "key").filter(2 * F.col("n") > F.col("pages"))
+    return kept.groupBy("place.host").agg(F.collect_list("key").alias("constant"))
 
 
 def _merge_group(group: pd.DataFrame) -> pd.DataFrame:
@@ -348,8 +387,13 @@ def _merge_group(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def infer(pages: DataFrame) -> DataFrame:
-    """One wrapper per host: host, wrapper (JSON)."""
-    wrappers = materialise(shapes(pages))
+    """One wrapper per host: host, wrapper (JSON), constant (keys of texts, or null)."""
+    shaped = materialise(shapes(pages))
+    return materialise(merged_shapes(shaped).join(constants(shaped), "host", "left"))
+
+
+def merged_shapes(shaped: DataFrame) -> DataFrame:
+    wrappers = materialise(shaped.select("host", "wrapper").distinct())
     while True:
         counts = wrappers.groupBy("host").agg(F.count("*").alias("_n"))
         if counts.filter("_n > 1").isEmpty():
@@ -371,17 +415,18 @@ def extract(pages: DataFrame) -> DataFrame:
     joined = placed.join(infer(placed), "host")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, set[str]] = {}
+        known: dict[str, tuple[set[str], frozenset[bytes]]] = {}
         for part in slices(batches, "html"):
             texts = []
-            for page, wrapper in zip(part["html"].to_pylist(), part["wrapper"].to_pylist(), strict=True):
-                if wrapper not in known:
+            columns = (part[c].to_pylist() for c in ("host", "html", "wrapper"))
+            for i, (host, page, wrapper) in enumerate(zip(*columns, strict=True)):
+                if host not in known:
                     if len(known) >= 1000:
                         known.clear()
-                    known[wrapper] = menus(json.loads(wrapper))
-                texts.append(main_text(page, known[wrapper]))
+                    known[host] = menus(json.loads(wrapper)), frozenset(part["constant"][i].as_py() or ())
+                texts.append(main_text(page, *known[host]))
             counts = pa.array([len(t) for t in texts], pa.int64())
             yield extended(part.select(["page_id", "url"]), text=pa.array(texts, pa.string()), n_chars=counts)
 
     schema = extended_schema(pages.select("page_id", "url").schema, "text string, n_chars bigint")
-    return joined.select("page_id", "url", "html", "wrapper").mapInArrow(run, schema)
+    return joined.select("page_id", "url", "host", "html", "wrapper", "constant").mapInArrow(run, schema)
