@@ -186,3 +186,16 @@ def test_texts_constant_over_a_host_are_left_out(spark):
     assert texts(spark, *few) == ["Odd\n\np0", "Odd\n\np1", "Odd\n\np2", "p3", "p4", "p5"]
     inside = [(f"http://h/{i}", f"<main><p>Same</p><p>T{i}</p></main>") for i in range(4)]
     assert texts(spark, *inside) == [f"Same\n\nT{i}" for i in range(4)]
+
+
+def test_lists_of_links_are_menus_only_if_they_recur(spark):
+    """A menu and an article's references share their path; some entries differ."""
+    menu = [f"<li><a>m{k}</a></li>" for k in range(5)]
+    page = "<body><ul>{}</ul><p>T{}</p><ul>{}</ul></body>"
+    refs = [[f"r{i}", f"q{i}", "shared"] for i in range(4)]
+    rows = [
+        (f"http://h/{i}", page.format("".join(menu[:i] + menu[i + 1 :]), i, "".join(f"<li><a>{r}</a></li>" for r in refs[i])))
+        for i in range(4)
+    ]
+    assert texts(spark, *rows) == ["\n\n".join([f"T{i}", *refs[i]]) for i in range(4)]
+    assert texts(spark, rows[0]) == ["T0\n\nr0\n\nq0\n\nshared"]

@@ -17,7 +17,8 @@ counts as a whole: all its words are MARKS or BESIDE them. Names never leave out
 article, main or a heading, and, but for comments, neither names nor forms leave
 out what holds most of a page's text. If
 a page has such text in an article or main element, only that counts; elsewhere
-repeated groups of nothing but links are menus. Comments, styles and markup never
+repeated groups of nothing but links are menus if at least half of a list's texts
+recur on other pages of the host, or, on a host of one page, if no text is before. Comments, styles and markup never
 count. Text of a block is the text of its inline elements; references are
 decoded, white space becomes one space, blocks are joined by an empty line.
 
@@ -321,17 +322,36 @@ def menus(wrapper: Node) -> set[str]:
     return {path for path, menu in found.items() if menu}
 
 
-def main_text(page: str | None, menu: set[str], constant: Container[bytes] = ()) -> str:
-    """The page's article, by the wrapper's menus and the keys of the host's constant texts."""
-    blocks: list[tuple[bool, str]] = []
+def main_text(
+    page: str | None, menu: set[str], constant: Container[bytes] = (), again: Container[bytes] = (), alone: bool = True
+) -> str:
+    """The page's article, by the wrapper's menus and the keys of the host's constant and
+    recurring texts; ``alone`` if no other page of the host has other texts."""
+    # Whether in article or main, and texts; of a link list also its path and the keys.
+    blocks: list[tuple[bool, list[str], str, list[bytes]]] = []
 
     def emit(path: str, out: bool, main: bool, words: str) -> None:
-        if not out and (main or (path not in menu and (not constant or key_of(path, words) not in constant))):
-            blocks.append((main, words))
+        if out:
+            blocks.append((False, [], "", []))
+            return
+        key = b"" if main else key_of(path, words)
+        if main or path not in menu:
+            blocks.append((main, [words] if main or key not in constant else [], "", []))
+        elif blocks and blocks[-1][2] == path:
+            blocks[-1][1].append(words)
+            blocks[-1][3].append(key)
+        else:
+            blocks.append((False, [words], path, [key]))
 
     read(page or "", emit)
-    only = any(main for main, _ in blocks)
-    return "\n\n".join(words for main, words in blocks if main or not only)
+    only = any(main for main, *_ in blocks)
+    kept: list[str] = []
+    for main, words, path, keys in blocks:
+        if path and (not kept if alone else 2 * sum(key in again for key in keys) >= len(keys)):
+            continue
+        if main or not only:
+            kept += words
+    return "\n\n".join(kept)
 
 
 def key_of(path: str, words: str = "") -> bytes:
@@ -364,19 +384,23 @@ def shapes(pages: DataFrame) -> DataFrame:
     return found.groupBy("host", "digest").agg(first).select("host", "first.*")
 
 
-def constants(shaped: DataFrame) -> DataFrame:
-    """Per host, the keys of the texts that are constant: host, constant.
+def recurring(shaped: DataFrame) -> DataFrame:
+    """Per host: constant and again, keys of texts that recur at their path, and pages with other texts.
 
-    A text is, if at least SEVERAL pages and over half of the pages with text at its
-    path have it there. So a host has at most twice as many as a page has texts.
+    A text is constant if at least SEVERAL pages and over half of the pages with text
+    at its path have it there, and is there again if two and a tenth of them have it.
+    So a host has at most ten times as many as a page has texts.
     """
     texts = shaped.select("host", "page", F.explode("keys").alias("key")).distinct()
     counts = texts.groupBy("host", "key").agg(F.count("*").alias("n"))
     place = F.struct("host", F.substring("key", 1, 8).alias("path")).alias("place")
-    often = counts.filter(F.col("n") >= SEVERAL).select(place, "key", "n")
+    often = counts.filter("n >= 2").select(place, "key", "n")
     paths = texts.select(place, "page").distinct().groupBy("place").agg(F.count("*").alias("pages"))
-    kept = join_summary(often, paths, "place", "key").filter(2 * F.col("n") > F.col("pages"))
-    return kept.groupBy("place.host").agg(F.collect_list("key").alias("constant"))
+    kept = join_summary(often, paths, "place", "key").filter(10 * F.col("n") >= F.col("pages"))
+    constant = F.when((F.col("n") >= SEVERAL) & (2 * F.col("n") > F.col("pages")), F.col("key"))
+    lists = F.collect_list(constant).alias("constant"), F.collect_list("key").alias("again")
+    pages = shaped.groupBy("host").agg((F.min("page") == F.max("page")).alias("alone"))
+    return pages.join(kept.groupBy("place.host").agg(*lists), "host", "left")
 
 
 def _merge_group(group: pd.DataFrame) -> pd.DataFrame:
@@ -387,9 +411,9 @@ def _merge_group(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def infer(pages: DataFrame) -> DataFrame:
-    """One wrapper per host: host, wrapper (JSON), constant (keys of texts, or null)."""
+    """One wrapper per host: host, wrapper (JSON), and the columns of ``recurring``."""
     shaped = materialise(shapes(pages))
-    return materialise(merged_shapes(shaped).join(constants(shaped), "host", "left"))
+    return materialise(merged_shapes(shaped).join(recurring(shaped), "host"))
 
 
 def merged_shapes(shaped: DataFrame) -> DataFrame:
@@ -415,7 +439,7 @@ def extract(pages: DataFrame) -> DataFrame:
     joined = placed.join(infer(placed), "host")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[set[str], frozenset[bytes]]] = {}
+        known: dict[str, tuple[set[str], frozenset[bytes], frozenset[bytes], bool]] = {}
         for part in slices(batches, "html"):
             texts = []
             columns = (part[c].to_pylist() for c in ("host", "html", "wrapper"))
@@ -423,10 +447,11 @@ def extract(pages: DataFrame) -> DataFrame:
                 if host not in known:
                     if len(known) >= 1000:
                         known.clear()
-                    known[host] = menus(json.loads(wrapper)), frozenset(part["constant"][i].as_py() or ())
+                    constant, again = (frozenset(part[c][i].as_py() or ()) for c in ("constant", "again"))
+                    known[host] = menus(json.loads(wrapper)), constant, again, part["alone"][i].as_py()
                 texts.append(main_text(page, *known[host]))
             counts = pa.array([len(t) for t in texts], pa.int64())
             yield extended(part.select(["page_id", "url"]), text=pa.array(texts, pa.string()), n_chars=counts)
 
     schema = extended_schema(pages.select("page_id", "url").schema, "text string, n_chars bigint")
-    return joined.select("page_id", "url", "host", "html", "wrapper", "constant").mapInArrow(run, schema)
+    return joined.select("page_id", "url", "host", "html", "wrapper", "constant", "again", "alone").mapInArrow(run, schema)
