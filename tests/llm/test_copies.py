@@ -149,3 +149,15 @@ def test_odd_fingerprints(spark):
     one = multiset.fingerprints(frame.limit(0).union(frame.filter("doc_id is null"))).collect()
     assert [(r.n_chars, r.near_next) for r in one] == [(1, 1.0)]
     assert multiset.fingerprints(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("repeats", [40_000, 80_000])
+def test_likeness_of_many_repeats(repeats):
+    """Half of the repeats replaced, and all but a few kept: exact for a single run."""
+    cache = WordHashes()
+    whole, half, near = (
+        multiset.vectors(["a b c\n" * n + "d e f\n" * (repeats - n)], cache) for n in (repeats, repeats // 2, repeats - 9)
+    )
+    assert multiset.likeness(whole, half)[0] == pytest.approx(2 * 0.5 / (1 + 0.25 + 0.25), abs=1e-6)
+    assert multiset.likeness(whole, near)[0] == pytest.approx(1, abs=1e-3)
+    assert np.abs(whole[1].view(np.int32)).max() == repeats

@@ -3,9 +3,9 @@
 A paragraph (a line that is not blank, without white space at its ends) hashes
 to a wide vector, and a document's fingerprint is the sum of its paragraphs'
 vectors: EXACT lanes modulo 2^64, filled evenly, settle equality; LIKE lanes
-modulo 2^16 hold the paragraph's runs of three words, each added to or
+modulo 2^32 hold the paragraph's runs of three words, each added to or
 subtracted from one lane, so that products of two fingerprints estimate how
-much two documents share. Order does not matter, and adding or removing a
+much two documents share; no text has enough words to pass a signed lane. Order does not matter, and adding or removing a
 paragraph adds or subtracts its vector (``added``, ``removed``).
 
 The likeness of two fingerprints is 2ab / (aa + bb) over the LIKE lanes, within
@@ -40,7 +40,7 @@ def paragraphs(text: str | None) -> list[str]:
 
 
 def vectors(texts: list[str | None], cache: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """EXACT (n x 4, uint64) and LIKE (n x 256, uint16) lanes of every text."""
+    """EXACT (n x 4, uint64) and LIKE (n x 256, uint32) lanes of every text."""
     n = len(texts)
     parts = [paragraphs(t) for t in texts]
     of_part = np.repeat(np.arange(n), np.fromiter(map(len, parts), np.int64, n))
@@ -54,7 +54,7 @@ def vectors(texts: list[str | None], cache: WordHashes) -> tuple[np.ndarray, np.
     runs, owner = shingle_hashes(hashes, owner, RUN)
     lane = of_part[owner] * LIKE + (runs >> np.uint64(56)).astype(np.int64) % LIKE
     sign = np.where(mix(runs) & np.uint64(1), 1.0, -1.0)
-    like = np.bincount(lane, weights=sign, minlength=n * LIKE).astype(np.int64).astype(np.uint16)
+    like = np.bincount(lane, weights=sign, minlength=n * LIKE).astype(np.int64).astype(np.uint32)
     return exact, like.reshape(n, LIKE)
 
 
@@ -68,12 +68,12 @@ def removed(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 def written(exact: np.ndarray, like: np.ndarray) -> list[str]:
     """Fingerprints as text: base64 of all lanes, little-endian."""
-    rows = zip(exact.astype("<u8"), like.astype("<u2"), strict=True)
+    rows = zip(exact.astype("<u8"), like.astype("<u4"), strict=True)
     return [base64.b64encode(e.tobytes() + w.tobytes()).decode() for e, w in rows]
 
 
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    x, y = a[1].view(np.int16).astype(np.float64), b[1].view(np.int16).astype(np.float64)
+    x, y = a[1].view(np.int32).astype(np.float64), b[1].view(np.int32).astype(np.float64)
     size = (x * x).sum(axis=1) + (y * y).sum(axis=1)
     near = np.clip(2 * (x * y).sum(axis=1) / np.maximum(size, 1), 0, 1)
     same = (a[0] == b[0]).all(axis=1) & (a[1] == b[1]).all(axis=1)
