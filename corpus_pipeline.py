@@ -1,4 +1,4 @@
-"""From documents to token ids: select, identify, deduplicate, decontaminate, encode.
+"""From documents to token ids: select, identify, deduplicate, decontaminate, encode and decode.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
 last keep the columns of documents, and drop the rows they reject.
@@ -36,15 +36,16 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document: doc_id, n_tokens, token_ids, and digests of ids and text."""
-    encoded = bpe.encode(docs.select("doc_id", "text"), TOKENIZER)
-    return encoded.select(
+    """Token ids of every document: doc_id, n_tokens, token_ids, and digests of ids, text and decoded ids."""
+    encoded = bpe.encode(docs.select("doc_id", "text"), TOKENIZER).select(
         "doc_id",
         "n_tokens",
         "token_ids",
         F.sha2("token_ids", 256).alias("ids_sha256"),
         F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"),
     )
+    decoded = F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256")
+    return bpe.decode(encoded, TOKENIZER).select(*encoded.columns, decoded)
 
 
 STAGES = [
@@ -52,7 +53,7 @@ STAGES = [
     ("language ID", identify_language),
     ("MinHash near-dedup", drop_near_duplicates),
     ("benchmark decontamination", drop_contaminated),
-    ("BPE encoding", encode_tokens),
+    ("BPE encoding and decoding", encode_tokens),
 ]
 
 #: The stages are beyond SQL; the tests hold run() against a version in plain Python.

@@ -123,3 +123,18 @@ def test_stages_keep_columns_and_stand_odd_rows(spark):
             kept = stage(spark, part, SMALL)
             assert kept.columns == docs.columns
             kept.collect()
+
+
+def test_last_stage_decodes_its_ids(spark):
+    import hashlib
+
+    rows = [(1, "The café\n\n of \U0001f600 and 12"), (2, ""), (3, None), (3, "x" * 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    with open(corpus_pipeline.TOKENIZER, encoding="utf-8") as file:
+        own = bpe.ByteBpe(file.read())
+    found = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        decoded = own.decode(bytes(r.token_ids or b"")).encode()
+        assert r.decoded_sha256 == hashlib.sha256(decoded).hexdigest()
+        assert r.text_sha256 in (r.decoded_sha256, None)
