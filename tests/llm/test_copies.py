@@ -161,3 +161,22 @@ def test_likeness_of_many_repeats(repeats):
     assert multiset.likeness(whole, half)[0] == pytest.approx(2 * 0.5 / (1 + 0.25 + 0.25), abs=1e-6)
     assert multiset.likeness(whole, near)[0] == pytest.approx(1, abs=1e-3)
     assert np.abs(whole[1].view(np.int32)).max() == repeats
+
+
+@pytest.mark.parametrize("owners", [[0], [0, 1], [0, 1, 2]])
+@pytest.mark.parametrize("n", range(11))
+def test_shingles_of_few_words(n, owners):
+    """Every length from none to twice the width, one owner or several, against plain Python."""
+    from webtables.llm.common import shingle_hashes
+
+    rng = np.random.default_rng(n)
+    per = {o: rng.integers(0, 2**63, n, dtype=np.uint64) for o in owners}
+    hashes = np.concatenate([per[o] for o in owners]).astype(np.uint64)
+    owner = np.repeat(np.array(owners), n)
+    got, of = shingle_hashes(hashes, owner, 5)
+    want = {o: max(1, n - 4) if n else 0 for o in owners}
+    assert collections.Counter(of.tolist()) == collections.Counter({o: c for o, c in want.items() if c})
+    # Equal windows give equal hashes, unequal ones differ.
+    if n >= 5:
+        again, _ = shingle_hashes(np.concatenate([per[owners[0]][1:], per[owners[0]][:1]]), np.zeros(n, int), 5)
+        assert set(got[: n - 4][1:].tolist()) == set(again[: n - 5].tolist())

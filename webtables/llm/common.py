@@ -169,7 +169,7 @@ def shingle_hashes(hashes: np.ndarray, owner: np.ndarray, width: int) -> tuple[n
     starts = np.flatnonzero(first)
     sizes = np.diff(np.append(starts, n))
     left = np.repeat(starts + sizes, sizes) - np.arange(n)  # words from here to the owner's end
-    for i in range(width):
+    for i in range(min(width, n)):
         inside = left > i
         shifted = np.zeros(n, np.uint64)
         shifted[: n - i] = hashes[i:]
