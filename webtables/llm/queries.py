@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from webtables.llm import bagminhash, bpe, chat, decontaminate, langmask, lengths, multiset, ordinal, simple8b, wrappers
+from webtables.llm import bagminhash, bpe, chat, decontaminate, langmask, lengths, multiset, ordinal, rules, simple8b, wrappers
 from webtables.llm.common import materialise, shared_folder, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -56,6 +56,11 @@ def op10_langmask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langmask.languages(table(spark, sf_dir, "documents"))
 
 
+def op11_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rules.quality(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *rules.OUTPUT)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
     "op1_bpe": op1_bpe,
@@ -68,9 +73,45 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lengths": op8_lengths,
     "op9_wrappers": op9_wrappers,
     "op10_langmask": op10_langmask,
+    "op11_rules": op11_rules,
 }
 
 SQL: dict[str, str] = {
+    "op11_rules": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, text,
+                list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+                list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls
+            FROM documents),
+        tri AS (
+            SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS t
+            FROM d, unnest(range(1, len(ws) - 1)) AS u(i)),
+        rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, t) AS c FROM tri) WHERE c >= 2),
+        cov AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM rep, unnest([0, 1, 2]) AS v(k) GROUP BY r),
+        dup AS (
+            SELECT r, sum((c - 1) * length(l)) AS chars
+            FROM (SELECT r, l, count(*) AS c FROM d, unnest(ls) AS u(l) GROUP BY r, l) GROUP BY r),
+        base AS (
+            SELECT d.r, doc_id, text, ws, ls, CAST(len(ws) AS BIGINT) AS n_words,
+                CAST(length(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+                CAST(length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+                coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(dup.chars, 0) AS dup_chars
+            FROM d LEFT JOIN cov USING (r) LEFT JOIN dup USING (r))
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+            (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+            CASE WHEN n_words < 50 OR 100 * n_repeat_words > 50 * n_words THEN false
+                WHEN n_words > 100000
+                    OR word_chars < 3 * n_words OR word_chars > 10 * n_words
+                    OR 10 * n_symbols > n_words
+                    OR 10 * n_dup_lines > 3 * len(ls)
+                    OR 10 * len(list_filter(ws, lambda x: regexp_matches(x, '\p{L}'))) < 8 * n_words
+                    OR 10 * len(list_filter(ls, lambda l: regexp_matches(l, '(\.\.\.|…)[\x20\x09-\x0D]*\z'))) > 3 * len(ls)
+                    OR 10 * len(list_filter(ls, lambda l: regexp_matches(l, '^[\x20\x09-\x0D]*(•|-|\*)'))) > 9 * len(ls)
+                    OR 5 * dup_chars > length(text)
+                THEN false ELSE true END AS kept
+        FROM base
+    """,
     **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}),
     "op6_decontaminate": r"""
         WITH docs AS (
