@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from webtables.llm import bagminhash, bpe, chat, decontaminate, langmask, lengths, multiset, ordinal, rules, simple8b, wrappers
+from webtables.llm import bagminhash, bpe, chat, decontaminate, langmask, lengths, multiset, ordinal, rules, runs, simple8b, wrappers
 from webtables.llm.common import materialise, shared_folder, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -61,6 +61,10 @@ def op11_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *rules.OUTPUT)
 
 
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.runs(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
     "op1_bpe": op1_bpe,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_wrappers": op9_wrappers,
     "op10_langmask": op10_langmask,
     "op11_rules": op11_rules,
+    "op12_runs": op12_runs,
 }
 
 SQL: dict[str, str] = {
