@@ -8,10 +8,11 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from webtables.llm import bagminhash, bpe, chat, decontaminate, langmask, lengths, multiset, ordinal, rules, runs, simple8b, wrappers
+from webtables.llm import align, bagminhash, bpe, chat, decontaminate, langmask, lengths, multiset, ordinal, rules, runs, simple8b, wrappers
 from webtables.llm.common import materialise, shared_folder, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -65,6 +66,10 @@ def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.runs(table(spark, sf_dir, "documents"))
 
 
+def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment(table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
     "op1_bpe": op1_bpe,
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_langmask": op10_langmask,
     "op11_rules": op11_rules,
     "op12_runs": op12_runs,
+    "op13_align": op13_align,
 }
 
 SQL: dict[str, str] = {
