@@ -409,6 +409,15 @@ def _(spark, sf):
     return K.preview(_topic_columns(K.with_topics(_classified(spark, sf))), 10, "doc_id")
 
 
+# The drawn documents themselves: the 10 least md5 priorities of seed and doc_id.
+@query(
+    "sampled_documents",
+    "SELECT doc_id, lang FROM documents ORDER BY md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) LIMIT 10",
+)
+def _(spark, sf):
+    return K.random_rows(table(spark, sf, "documents").select("doc_id", "lang"), 10, 7, key="doc_id")
+
+
 # A draw of 10 rows by seed: again the same, with another seed not, and not the first ten.
 @query("random_rows", "SELECT 10 AS n, 10 AS again, true AS by_seed, true AS at_random")
 def _(spark, sf):

@@ -77,3 +77,22 @@ def test_website_topics(spark, topics):
     )
     rows = {r["netloc"]: r["topics"] for r in website_topics(texts, topics, ["the"]).collect()}
     assert rows == {"a.nz": ["Holidays"], "b.nz": []}
+
+
+def test_sample_is_independent_of_partitioning(spark):
+    import hashlib
+
+    rows = [(i, f"t{i % 13}") for i in range(500)] + [(7, "t7"), (7, "t7"), (None, "none")]
+    frame = spark.createDataFrame(rows, "doc_id long, tag string")
+    draws = [
+        sorted(map(tuple, K.random_rows(frame.repartition(parts), 12, 5, key="doc_id").collect()), key=repr)
+        for parts in (1, 5, 211)
+    ]
+    assert draws[0] == draws[1] == draws[2]
+    # The least md5 priorities of "5:" and the key, computed in plain Python.
+    order = sorted(rows, key=lambda r: hashlib.md5(f"5:{'' if r[0] is None else r[0]}".encode()).hexdigest())
+    assert draws[0] == sorted(order[:12], key=repr)
+    # Without a key the whole row is hashed; repeated rows are drawn alike under any layout.
+    whole = [sorted(map(tuple, K.random_rows(frame.repartition(p), 40, 1).collect()), key=repr) for p in (1, 211)]
+    assert whole[0] == whole[1] and len(whole[0]) == 40
+    assert K.random_rows(frame.limit(0), 3, 1).count() == 0

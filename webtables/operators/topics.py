@@ -144,6 +144,18 @@ def preview(table: DataFrame, n: int, *order: str) -> DataFrame:
     return table.orderBy(*order).limit(n)
 
 
-def random_rows(table: DataFrame, n: int, seed: int) -> DataFrame:
-    """n rows drawn at random."""
-    return table.orderBy(F.rand(seed)).limit(n)
+def random_rows(table: DataFrame, n: int, seed: int, key: str | None = None) -> DataFrame:
+    """n rows drawn at random, the same under any partitioning of the table.
+
+    A bottom-k sample: every row's priority is the md5 of ``"<seed>:"`` and its
+    ``key`` column as a string (a null key as nothing after the colon; without a
+    key, the row's values as JSON), and the n least priorities are drawn. Ties of
+    the priority go by the row as JSON. Each task keeps its n least and only these
+    meet (Spark's ordered take), so it holds n rows whatever the table's size.
+    Repeated rows share a priority and are drawn together, as far as n allows.
+    """
+    whole = F.to_json(F.struct(*[F.col(c) for c in table.columns]))
+    value = F.col(key).cast("string") if key else whole
+    priority = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(value, F.lit(""))))
+    ranked = table.withColumns({"_priority": priority, "_whole": whole})
+    return ranked.orderBy("_priority", "_whole").limit(n).drop("_priority", "_whole")
