@@ -211,6 +211,41 @@ def sitemaps(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def nested_sitemaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Per host of the pages: a robots file, sitemap indexes nested four deep with
+    a cycle back to the first, and a sitemap listing the host's pages."""
+    pages = table(spark, sf, "pages").select("url")
+    hosts = pages.select(F.concat(F.lit("https://"), urls.netloc(F.col("url")), F.lit(".nz")).alias("h"))
+    hosts = hosts.filter(F.col("h") != "https://.nz").distinct()
+    h = F.col("h")
+
+    def index(*tails: str) -> Column:
+        parts = [x for t in tails for x in (F.lit("<sitemap><loc>"), h, F.lit(f"{t}</loc></sitemap>"))]
+        return F.concat(F.lit("<sitemapindex>"), *parts, F.lit("</sitemapindex>"))
+
+    listed = pages.select(
+        F.concat(F.lit("https://"), urls.netloc(F.col("url")), F.lit(".nz")).alias("h"),
+        F.concat(F.lit("<url><loc>"), F.col("url"), F.lit("</loc></url>")).alias("entry"),
+    )
+    urlsets = listed.groupBy("h").agg(F.concat_ws("", F.array_sort(F.collect_list("entry"))).alias("entries"))
+    def entry(name: str, body: Column) -> Column:
+        return F.struct(F.concat(h, F.lit(name)).alias("url"), body.alias("body"))
+
+    bodies = hosts.select(
+        F.inline(
+            F.array(
+                entry("/robots.txt", F.concat(F.lit("Sitemap: "), h, F.lit("/n0.xml\n"))),
+                entry("/n0.xml", index("/n1.xml", "/gone.xml")),
+                entry("/n1.xml", index("/n2.xml")),
+                entry("/n2.xml", index("/n3.xml", "/n0.xml")),
+                entry("/n3.xml", index("/n4.xml")),
+            )
+        )
+    )
+    sets = urlsets.select(F.concat("h", F.lit("/n4.xml")).alias("url"), F.concat(F.lit("<urlset>"), "entries", F.lit("</urlset>")).alias("body"))
+    return bodies.unionByName(sets)
+
+
 # Added to the number of a page, or of an error, that comes again later.
 LATER = 1_000_000
 

@@ -521,3 +521,38 @@ def _(spark, sf):
         *[F.col(f"{place[f]}.{f}").alias(f) for f in _FIELDS],
     )
     return _lists_joined(flat)
+
+
+# Sitemap indexes nested four deep, with a cycle, followed to the end; SQL walks the
+# same bodies by a recursive CTE whose paths exclude revisits.
+_NESTED_H = "'https://' || " + inputs.NETLOC.format("url") + " || '.nz'"
+
+
+@query(
+    "sitemap_closure",
+    f"""
+    WITH RECURSIVE hs AS (SELECT DISTINCT {_NESTED_H} AS h FROM pages WHERE {inputs.NETLOC.format("url")} <> ''),
+    bodies AS (
+        SELECT h || '/robots.txt' AS url, 'Sitemap: ' || h || '/n0.xml' || chr(10) AS body FROM hs
+        UNION ALL SELECT h || '/n0.xml', '<sitemapindex><sitemap><loc>' || h || '/n1.xml</loc></sitemap><sitemap><loc>' || h || '/gone.xml</loc></sitemap></sitemapindex>' FROM hs
+        UNION ALL SELECT h || '/n1.xml', '<sitemapindex><sitemap><loc>' || h || '/n2.xml</loc></sitemap></sitemapindex>' FROM hs
+        UNION ALL SELECT h || '/n2.xml', '<sitemapindex><sitemap><loc>' || h || '/n3.xml</loc></sitemap><sitemap><loc>' || h || '/n0.xml</loc></sitemap></sitemapindex>' FROM hs
+        UNION ALL SELECT h || '/n3.xml', '<sitemapindex><sitemap><loc>' || h || '/n4.xml</loc></sitemap></sitemapindex>' FROM hs
+        UNION ALL SELECT h || '/n4.xml', '<urlset>' || string_agg('<url><loc>' || url || '</loc></url>', '' ORDER BY url) || '</urlset>'
+            FROM (SELECT {_NESTED_H} AS h, url FROM pages) GROUP BY h),
+    edges AS (
+        SELECT DISTINCT url AS f, t FROM (
+            SELECT url, unnest(CASE WHEN ends_with(url, '/robots.txt')
+                THEN regexp_extract_all(body, '(?im)^[ \t\f]*sitemap:[ \t\f]*([^\r\n]*?)[ \t\f]*\r?$', 1)
+                WHEN contains(body, '<sitemapindex') THEN list_filter(regexp_extract_all(body, '<loc>(.*?)</loc>', 1), lambda l: regexp_matches(l, '[.]nz/'))
+                ELSE [] END) AS t FROM bodies) WHERE t <> ''),
+    walk(url, depth, path) AS (
+        SELECT DISTINCT url, 0, [url] FROM bodies WHERE ends_with(url, '/robots.txt')
+        UNION ALL
+        SELECT e.t, w.depth + 1, list_append(w.path, e.t) FROM walk w JOIN edges e ON e.f = w.url
+        WHERE NOT list_contains(w.path, e.t))
+    SELECT url, min(depth) AS depth FROM walk GROUP BY url""",
+)
+def _(spark, sf):
+    return frontier.sitemap_closure(inputs.nested_sitemaps(spark, sf))
+

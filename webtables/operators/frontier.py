@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from webtables.functions import entities
+from webtables.sources.tables import materialise
 
 # Where a site's sitemap is looked for, in order.
 SITEMAP_SUFFIXES = ("/robots.txt", "/sitemap.xml")
@@ -118,6 +119,43 @@ def followed_sitemaps(
     )
 
 
+def sitemap_closure(bodies: DataFrame, patterns: Sequence[str] = FOLLOWED) -> DataFrame:
+    """Every sitemap reached from the robots files, followed to the end: url, depth.
+
+    Robots files have depth 0; a location that a reached robots file names, or a
+    reached sitemap index lists and ``patterns`` match, is reached one deeper.
+    A semi-naive fixpoint: each round joins only the sitemaps first reached in
+    the round before with the edges, and keeps those never reached (an anti-join
+    with the written rounds), so a cycle ends and depth is the least. Reached
+    locations without a body are kept and end there. Each round is written once,
+    so the lineage is one round deep and the result a union of written rounds.
+    """
+    locations = sitemap_locations(bodies)
+    edges = materialise(
+        followed_sitemaps(locations, patterns)
+        .filter(F.col("loc") != "")
+        .select(F.col("url").alias("_from"), F.col("loc").alias("_to"))
+        .distinct()
+    )
+    frontier = materialise(
+        locations.filter(F.col("kind") == "robots").select("url").distinct().withColumn("depth", F.lit(0))
+    )
+    rounds = [frontier]
+    depth = 0
+    while frontier.take(1):
+        depth += 1
+        reached = rounds[0]
+        for earlier in rounds[1:]:
+            reached = reached.unionByName(earlier)
+        following = frontier.join(edges, frontier["url"] == edges["_from"]).select(F.col("_to").alias("url")).distinct()
+        frontier = materialise(following.join(reached, "url", "left_anti").withColumn("depth", F.lit(depth)))
+        rounds.append(frontier)
+    result = rounds[0]
+    for later in rounds[1:]:
+        result = result.unionByName(later)
+    return result
+
+
 def first_rule(url: Column, rules: Sequence[tuple[str, str]] = PAGE_RULES) -> Column:
     """Page type of the first rule whose pattern occurs in the URL, else null."""
     result = F.lit(None).cast("string")
