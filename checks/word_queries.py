@@ -85,7 +85,8 @@ def _(spark, sf):
 @query("stored_word_counts", "SELECT source, word, n FROM source_counts", WORDS)
 def _(spark, sf):
     folder = T.shared_folder(spark)
-    return T.load_or_build(spark, folder, lambda: W.word_counts(documents(spark, sf), "source"))
+    source = documents(spark, sf)
+    return T.load_or_build(spark, folder, lambda: W.word_counts(source, "source"), source, {"by": "source"})
 
 
 # ----------------------------------------------------------------- words

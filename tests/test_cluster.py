@@ -69,5 +69,28 @@ def test_stored_labels_are_read_again(spark, folder):
     )
     labels, top = clustered_websites(texts, 3, 777, stored=f"{folder}/labels", stop_words=["none"])
     assert labels.count() == 6 and top.count() > 0
-    again, _ = clustered_websites(texts, 3, 1, stored=f"{folder}/labels", stop_words=["none"])
+    again, _ = clustered_websites(texts, 3, 777, stored=f"{folder}/labels", stop_words=["none"])
     assert sorted(again.collect()) == sorted(labels.collect())
+
+
+def test_stored_table_is_rebuilt_for_other_input_or_parameters(spark, folder):
+    from webtables.sources.tables import load_or_build
+
+    built = []
+
+    def build(frame):
+        def make():
+            built.append(1)
+            return frame
+
+        return make
+
+    first = spark.createDataFrame([(1, "a")], "doc long, word string")
+    other = spark.createDataFrame([(2, "b")], "doc long, word string")
+    path = f"{folder}/stored"
+    assert load_or_build(spark, path, build(first), first, {"k": 3}).collect() == first.collect()
+    assert load_or_build(spark, path, build(first), first, {"k": 3}).collect() == first.collect()
+    assert len(built) == 1  # the same input and parameters: read
+    assert load_or_build(spark, path, build(first), first, {"k": 4}).count() == 1 and len(built) == 2
+    assert load_or_build(spark, path, build(other), other, {"k": 4}).collect() == other.collect()
+    assert len(built) == 3  # another input: built again

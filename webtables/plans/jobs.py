@@ -35,7 +35,8 @@ def clustered_websites(
         docs = sites.select(F.col("netloc").alias("doc")).distinct()
         return cluster.cluster_documents(weights, docs, k, seed)
 
-    labels = build() if stored is None else load_or_build(texts.sparkSession, stored, build)
+    parameters = {"k": k, "seed": seed, "stop_words": sorted(stop_words or [])}
+    labels = build() if stored is None else load_or_build(texts.sparkSession, stored, build, texts, parameters)
     return labels, cluster.top_cluster_words(weights, labels)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -74,17 +75,47 @@ def write_table(table: DataFrame, path: str) -> None:
     table.write.mode("overwrite").parquet(path)
 
 
+def manifest(inputs: DataFrame | None, parameters: dict | None = None) -> str:
+    """What a stored table was built from: the plan of the input it reads (its
+    semantic hash), the input's files with length and time, and the parameters."""
+    listed = []
+    plan = None
+    if inputs is not None:
+        plan = inputs.semanticHash()
+        jvm = inputs.sparkSession._jvm
+        conf = inputs.sparkSession._jsc.hadoopConfiguration()
+        for name in sorted(inputs.inputFiles()):
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            status = path.getFileSystem(conf).getFileStatus(path)
+            listed.append([name, status.getLen(), status.getModificationTime()])
+    return json.dumps({"plan": plan, "files": listed, "parameters": parameters or {}}, sort_keys=True, default=str)
+
+
 def load_or_build(
-    spark: SparkSession, path: str, build: Callable[[], DataFrame]
+    spark: SparkSession,
+    path: str,
+    build: Callable[[], DataFrame],
+    inputs: DataFrame | None = None,
+    parameters: dict | None = None,
 ) -> DataFrame:
-    """The table stored at the path, built and stored first if not there.
+    """The table stored at the path, built and stored first if not there or if it
+    was built from something else.
 
-    A table counts as stored only once its write has been committed.
+    A manifest of the input (see ``manifest``) and the parameters is written
+    into ``_manifest`` after the table's write has been committed; a table whose
+    manifest is missing or differs is built again. Without ``inputs`` and
+    ``parameters`` any committed table at the path is read.
     """
-    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    wanted = manifest(inputs, parameters)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    marker = hadoop(f"{path}/_manifest/_SUCCESS")
     files = marker.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(marker):
+    stored = None
+    if files.exists(marker):
+        stored = "\n".join(r[0] for r in spark.read.text(f"{path}/_manifest").collect())
+    if stored != wanted:
         write_table(build(), path)
+        spark.createDataFrame([(wanted,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_manifest")
     return spark.read.parquet(path)
 
 
