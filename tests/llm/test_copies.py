@@ -180,3 +180,14 @@ def test_shingles_of_few_words(n, owners):
     if n >= 5:
         again, _ = shingle_hashes(np.concatenate([per[owners[0]][1:], per[owners[0]][:1]]), np.zeros(n, int), 5)
         assert set(got[: n - 4][1:].tolist()) == set(again[: n - 5].tolist())
+
+
+def test_deduplicated_keeps_columns_named_like_helpers(spark):
+    from webtables.llm import bagminhash
+
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, text, "a", "k1", 5), (2, text, "b", "k2", 6), (3, None, "c", "k3", 7), (4, "other " + text, "d", "k4", 8)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _id string, _key string, _least int")
+    got = sorted(tuple(r) for r in bagminhash.deduplicated(frame).collect())
+    assert got == sorted([rows[0], rows[2], rows[3]], key=lambda r: r[0]) or got == sorted([rows[0], rows[2]])
+    assert {r[2] for r in got} <= {"a", "c", "d"} and all(isinstance(r[2], str) for r in got)

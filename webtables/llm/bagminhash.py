@@ -333,12 +333,23 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 def deduplicated(documents: DataFrame) -> DataFrame:
     """One row of every class (its least doc_id's), and all rows of null texts.
 
-    Of rows that are equal in doc_id and text any one stays.
+    Of rows that are equal in doc_id and text any one stays. The input's columns
+    come out as they came in, whatever their names: helper columns take names
+    that none of them has.
     """
-    leads = classes(documents).filter("leads").select(
-        F.col("text_key").alias("_key"), F.xxhash64("doc_id").alias("_id"), F.col("doc_id").alias("_least")
+    taken = set(documents.columns)
+
+    def fresh(name: str) -> str:
+        while name in taken:
+            name = "_" + name
+        taken.add(name)
+        return name
+
+    key, ident, least = fresh("_key"), fresh("_id"), fresh("_least")
+    leads = classes(documents.select("doc_id", "text")).filter("leads").select(
+        F.col("text_key").alias(key), F.xxhash64("doc_id").alias(ident), F.col("doc_id").alias(least)
     )
-    keyed = documents.withColumns({"_key": text_key(), "_id": F.xxhash64("doc_id")})
-    kept = keyed.join(leads, ["_key", "_id"]).filter(F.col("doc_id").eqNullSafe(F.col("_least")))
-    kept = kept.dropDuplicates(["_key", "_id"]).select(*documents.columns)
+    keyed = documents.withColumns({key: text_key(), ident: F.xxhash64("doc_id")})
+    kept = keyed.join(leads, [key, ident]).filter(F.col("doc_id").eqNullSafe(F.col(least)))
+    kept = kept.dropDuplicates([key, ident]).select(*documents.columns)
     return kept.unionByName(documents.filter(F.col("text").isNull()))
