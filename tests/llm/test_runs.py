@@ -115,3 +115,16 @@ def test_empty_table_and_extra_columns(spark):
     got = runs.runs(frame).collect()
     assert len(got) == 1 and got[0].n_runs == 1
     assert runs.runs(frame.limit(0)).count() == 0
+
+
+def test_shortcut_never_hides_a_run():
+    rng = random.Random(11)
+    for _ in range(300):
+        q = rng.randint(1, 12)
+        unit = [f"u{rng.randrange(1000)}" for _ in range(q)]
+        length = max(24, 3 * q) + rng.randint(0, 3)
+        loop = [unit[i % q] for i in range(length)]
+        words = [f"a{i}" for i in range(rng.randint(0, 20))] + loop + [f"b{i}" for i in range(rng.randint(0, 20))]
+        text = " ".join(words)
+        assert runs.analyse(5, text) == brute_row(5, text)
+        assert runs.may_repeat(np.array([hash(w) % 10**9 for w in words], dtype=np.int64))

@@ -14,7 +14,9 @@ theorem every run holds a Lyndon root that is the longest Lyndon word at its
 place under one of the two orders, so each such word of length p is extended
 left and right by longest common extensions with the word p further on; the
 stretches of at least 2p are the runs. A root inside a run already found for p
-is skipped, so every run is extended once per order.
+is skipped, so every run is extended once per order. A run of the least length
+repeats a window of ``REPEAT`` words; texts in which no such window comes twice
+(by hashes of the windows) hold no run and are not sorted.
 
 Spark reads the documents and runs this in Arrow batches of about
 ``SLICE_BYTES`` of text (``mapInArrow``); nothing is shuffled and a task holds
@@ -47,6 +49,12 @@ MIN_LENGTH = 24
 MIN_EXPONENT = 3
 PLANT_EVERY = 10
 
+#: Words q apart agree over at least this many places in every run of the least
+#: length (a rule of MIN_LENGTH and MIN_EXPONENT): a text in which no window of
+#: this many words comes twice holds no run, and is not sorted.
+REPEAT = min(max(MIN_LENGTH, MIN_EXPONENT * q) - q for q in range(1, MIN_LENGTH + 1))
+_MIX = np.random.default_rng(12345).integers(1, 2**63, size=REPEAT, dtype=np.uint64) | np.uint64(1)
+
 SCHEMA = (
     "doc_id bigint, n_words bigint, n_runs bigint, start bigint, length bigint, period bigint, "
     "exponent_milli bigint, runs_sha256 string, collapsed_sha256 string"
@@ -152,15 +160,27 @@ def maximal_runs(symbols: np.ndarray) -> list[tuple[int, int, int]]:
     return sorted((s, length, p) for (s, p), length in found.items())
 
 
+def may_repeat(symbols: np.ndarray, width: int = REPEAT) -> bool:
+    """Whether some window of ``width`` symbols may come twice (hashes of the
+    windows; a collision only costs the full search, never a run)."""
+    count = len(symbols) - width + 1
+    if count < 2:
+        return False
+    mixed = np.zeros(count, dtype=np.uint64)
+    values = symbols.astype(np.uint64)
+    for j in range(width):
+        mixed += values[j : j + count] * _MIX[j]
+    return len(np.unique(mixed)) < count
+
+
 def analyse(doc_id: int | None, text: str | None) -> tuple:
     """The result row of one document (see the module's docstring)."""
     words = planted(WORD.findall(text or ""), doc_id)
     n = len(words)
-    if n:
-        symbols = np.unique(np.array(words, dtype=object), return_inverse=True)[1].astype(np.int64)
-    else:
-        symbols = np.zeros(0, dtype=np.int64)
-    runs = [r for r in maximal_runs(symbols) if r[1] >= max(MIN_LENGTH, MIN_EXPONENT * r[2])]
+    number: dict[str, int] = {}
+    symbols = np.fromiter((number.setdefault(w, len(number)) for w in words), dtype=np.int64, count=n)
+    found = maximal_runs(symbols) if may_repeat(symbols) else []
+    runs = [r for r in found if r[1] >= max(MIN_LENGTH, MIN_EXPONENT * r[2])]
     runs.sort(key=lambda r: (r[0], r[2]))
     drop = np.zeros(n + 1, dtype=np.int64)
     for start, length, period in runs:
