@@ -125,6 +125,13 @@ def test_stages_keep_columns_and_stand_odd_rows(spark):
             kept.collect()
 
 
+def test_texts_without_letters_teach_nothing(spark):
+    docs = spark.createDataFrame([("", "en"), ("12 3", "en"), ("le", "fr")], "text string, lang string").coalesce(1)
+    assert {r["lang"] for r in langmask.counted(docs.filter("lang = 'fr'")).collect()} == {"fr"}
+    assert langmask.counted(docs.filter("lang = 'en'")).collect() == []
+    assert {r["lang"] for r in langmask.counted(docs).collect()} == {"fr"}
+
+
 def test_last_stage_decodes_its_ids(spark):
     import hashlib
 

@@ -168,6 +168,9 @@ def counted(training: DataFrame) -> DataFrame:
                     coded = pa.array(hashes[uses > 0]).dictionary_encode()
                     count = np.bincount(coded.indices.to_numpy(), uses[uses > 0], len(coded.dictionary))
                     found.append((coded.dictionary.to_numpy(), count))
+                # Texts without a letter have no n-grams.
+                if not found:
+                    continue
                 gram, at = np.unique(np.concatenate([g for g, _ in found]), return_inverse=True)
                 count = np.bincount(at, np.concatenate([c for _, c in found]), len(gram))
                 held[name] = (gram, count.astype(np.int64))
