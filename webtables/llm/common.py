@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
@@ -32,6 +34,18 @@ def shuffle_tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@functools.cache
+def _trim() -> Callable[[int], int] | None:
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system, as Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
 def slices(
     batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES, rows: int = 2048
 ) -> Iterator[pa.RecordBatch]:
@@ -48,6 +62,7 @@ def slices(
             stop = min(stop, start + rows)
             yield batch.slice(start, stop - start)
             start = stop
+            give_back()
 
 
 def extended(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:

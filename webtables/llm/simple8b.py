@@ -21,7 +21,7 @@ import array
 import functools
 import os
 import sys
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +33,12 @@ from webtables.llm.common import ENCODE_BYTES, ChunkIds, extended, extended_sche
 
 #: Ids per block, and ids per segment before it is closed.
 BLOCK = 512
-SEGMENT_IDS = 1 << 20
+SEGMENT_IDS = 1 << 18
 #: Ids per word of each selector; 60 // count bits are each id's share.
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
 WIDTHS = 60 // COUNTS
 ESCAPE = len(COUNTS)
+Batches = Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 SEGMENTS = (
     "part int, segment int, part_start bigint, n_ids bigint, doc_ids array<bigint>,"
     " lengths array<bigint>, offsets array<int>, words binary"
@@ -149,6 +150,12 @@ def encode_words(texts: DataFrame, path: str, end_id: int, column: str = "text")
     of the whole text for a tokenizer that drops white space and never joins a
     letter with a following stop or comma.
     """
+    run = _encoder(texts, path, end_id, column)
+    return texts.mapInArrow(run, extended_schema(texts.schema, "token_ids binary"))
+
+
+def _encoder(texts: DataFrame, path: str, end_id: int, column: str = "text") -> Batches:
+    """What ``encode_words`` does with the record batches of a task."""
     with open(path, encoding="utf-8") as file:
         definition = texts.sparkSession.sparkContext.broadcast(file.read())
     end = np.array([end_id], "<u4").tobytes()
@@ -160,7 +167,7 @@ def encode_words(texts: DataFrame, path: str, end_id: int, column: str = "text")
             coded = tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
             return [little_endian(x.ids) for x in coded]
 
-        for part in slices(batches, column, ENCODE_BYTES):
+        for part in slices(batches, column, ENCODE_BYTES // 2):
             text = pc.fill_null(part[column], "")
             # Texts that hold the mark themselves stay whole.
             cut = pc.replace_substring_regex(text, "[ \\n\\t\\r]+", "\0")
@@ -177,7 +184,7 @@ def encode_words(texts: DataFrame, path: str, end_id: int, column: str = "text")
             ids = pc.binary_join_element_wise(ids, pa.scalar(end, pa.binary()), pa.scalar(b"", pa.binary()))
             yield extended(part, token_ids=ids)
 
-    return texts.mapInArrow(run, extended_schema(texts.schema, "token_ids binary"))
+    return run
 
 
 def in_order(texts: DataFrame, column: str = "text") -> DataFrame:
@@ -188,40 +195,41 @@ def in_order(texts: DataFrame, column: str = "text") -> DataFrame:
 
 def write(encoded: DataFrame, path: str) -> None:
     """Write rows of doc_id and token_ids, in the order they are in, as segments."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, segment, start = TaskContext.get().partitionId(), 0, 0
-        docs: list[int | None] = []
-        held: list[bytes] = []
-        size = 0
-
-        def close() -> pa.RecordBatch:
-            nonlocal segment, start, docs, held, size
-            words, offsets = pack(np.frombuffer(b"".join(held), "<u4"))
-            row = {
-                "part": part,
-                "segment": segment,
-                "part_start": start,
-                "n_ids": size,
-                "doc_ids": docs,
-                "lengths": [len(x) // 4 for x in held],
-                "offsets": offsets.tolist(),
-                "words": words.astype("<u8").tobytes(),
-            }
-            segment, start, docs, held, size = segment + 1, start + size, [], [], 0
-            return pa.RecordBatch.from_pylist([row], schema=ARROW_SEGMENTS)
-
-        for batch in batches:
-            for doc, ids in zip(batch["doc_id"].to_pylist(), batch["token_ids"].to_pylist(), strict=True):
-                docs.append(doc)
-                held.append(ids or b"")
-                size += len(held[-1]) // 4
-                if size >= SEGMENT_IDS:
-                    yield close()
-        if docs:
-            yield close()
-
-    encoded.select("doc_id", "token_ids").mapInArrow(run, SEGMENTS).write.parquet(path)
+    encoded.select("doc_id", "token_ids").mapInArrow(segments_of, SEGMENTS).write.parquet(path)
+
+
+def segments_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The segments of a task's rows of doc_id and token_ids."""
+    part, segment, start = TaskContext.get().partitionId(), 0, 0
+    docs: list[int | None] = []
+    held: list[bytes] = []
+    size = 0
+
+    def close() -> pa.RecordBatch:
+        nonlocal segment, start, docs, held, size
+        words, offsets = pack(np.frombuffer(b"".join(held), "<u4"))
+        row = {
+            "part": part,
+            "segment": segment,
+            "part_start": start,
+            "n_ids": size,
+            "doc_ids": docs,
+            "lengths": [len(x) // 4 for x in held],
+            "offsets": offsets.tolist(),
+            "words": words.astype("<u8").tobytes(),
+        }
+        segment, start, docs, held, size = segment + 1, start + size, [], [], 0
+        return pa.RecordBatch.from_pylist([row], schema=ARROW_SEGMENTS)
+
+    for batch in batches:
+        for doc, ids in zip(batch["doc_id"].to_pylist(), batch["token_ids"].to_pylist(), strict=True):
+            docs.append(doc)
+            held.append(ids or b"")
+            size += len(held[-1]) // 4
+            if size >= SEGMENT_IDS:
+                yield close()
+    if docs:
+        yield close()
 
 
 ARROW_SEGMENTS = pa.schema(
@@ -277,6 +285,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def round_trip(documents: DataFrame, tokenizer: str, path: str, end_id: int = 2) -> DataFrame:
     """Encode, write and read back whole texts: doc_id, start, n_tokens, ids_crc32."""
     ordered = in_order(documents.select("doc_id", "text"))
-    write(encode_words(ordered, tokenizer, end_id), path)
+    encode = _encoder(ordered, tokenizer, end_id)
+    # One Python worker per task encodes and packs.
+    ordered.mapInArrow(lambda batches: segments_of(encode(batches)), SEGMENTS).write.parquet(path)
     back = read(documents.sparkSession, path)
     return back.select("doc_id", "start", "n_tokens", F.crc32("token_ids").alias("ids_crc32"))
