@@ -14,6 +14,10 @@ slice). A text is aligned only if both lists spell ``" " + text`` byte for
 byte; null, empty and other texts have no tokens and all figures 0, and their
 ``groups_sha256`` is ``''``.
 
+Both tokenizers always end a token before a lone space between two other
+characters (no token of theirs goes on over one), so a text is cut there into
+pieces, which are encoded and grouped each for itself, and alike pieces once.
+
 Corpus-wide, a pair of ids counts the documents (rows) that link it. Each row
 sends its distinct pairs with their multiplicity; the counts are summed with
 partial aggregation, so a pair found in every document is combined within the
@@ -28,20 +32,29 @@ carried, so none clash; an empty table gives no rows.
 
 from __future__ import annotations
 
+import array
 import functools
 import hashlib
+import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from webtables.llm.bpe import byte_symbols
+from webtables.llm.bpe import byte_symbols, split_texts
 from webtables.llm.common import materialise, slices
 from webtables.operators.skew import join_summary
 
 #: Salts of the join of the counts with the rows' pairs.
 SALTS = 8
+#: Text bytes that a task aligns at a time.
+ALIGN_BYTES = 1 << 19
+#: Aligned pieces that a task keeps; when they are more, they are emptied.
+CACHE_PIECES = 50_000
+#: Characters from which a piece is not kept.
+LONG_PIECE = 64
 #: A pair as one long: A's id above, B's below.
 SHIFT = 1 << 32
 
@@ -75,69 +88,83 @@ class Aligner:
             else:
                 b_bytes.append(piece.replace("▁", " ").encode())
         self.b_bytes = b_bytes
-        self.a_length = np.array([len(x) for x in a_bytes], dtype=np.int64)
-        self.b_length = np.array([len(x) for x in b_bytes], dtype=np.int64)
-
-    def tokens(self, texts: list[str | None]) -> list[tuple[list[int], list[int]] | None]:
-        """Both id lists of each text, or None where it cannot be aligned."""
-        present = [t for t in texts if t]
-        a_ids = [e.ids for e in self.a.encode_batch([" " + t for t in present], add_special_tokens=False)]
-        b_ids = self.b.encode(present, num_threads=1) if present else []
-        found, k = [], 0
-        for text in texts:
-            if not text:
-                found.append(None)
-                continue
-            a, b = a_ids[k], b_ids[k]
-            k += 1
-            want = (" " + text).encode("utf-8", "surrogatepass")
-            spelled = b"".join(self.a_bytes[i] for i in a) == want and b"".join(self.b_bytes[i] for i in b) == want
-            found.append((a, b) if spelled else None)
-        return found
+        self.a_length = [len(x) for x in a_bytes]
+        self.b_length = [len(x) for x in b_bytes]
+        self.known: dict[str, tuple[int, int, int, bytes, bytes] | None] = {}
 
     def groups(self, a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]]:
         """Slices of both lists at the byte offsets where tokens of both end."""
-        a_ends = np.cumsum(self.a_length[a]).tolist()
-        b_ends = np.cumsum(self.b_length[b]).tolist()
-        a_at = {end: i for i, end in enumerate(a_ends)}
-        b_at = {end: i for i, end in enumerate(b_ends)}
+        a_at = {end: i for i, end in enumerate(itertools.accumulate(map(self.a_length.__getitem__, a)), 1)}
+        b_at = {end: i for i, end in enumerate(itertools.accumulate(map(self.b_length.__getitem__, b)), 1)}
         out, a_from, b_from = [], 0, 0
         for end in sorted(a_at.keys() & b_at.keys()):
-            a_to, b_to = a_at[end] + 1, b_at[end] + 1
+            a_to, b_to = a_at[end], b_at[end]
             out.append((a[a_from:a_to], b[b_from:b_to]))
             a_from, b_from = a_to, b_to
         return out
 
 
+    def aligned_pieces(self, pieces: list[str]) -> list[tuple[int, int, int, bytes, bytes] | None]:
+        """Of each piece, with a space before it: the numbers of A's and B's tokens and of
+        groups, all links' pairs (64-bit integers) and the groups' text; None if a list
+        does not spell it."""
+        a_ids = [e.ids for e in self.a.encode_batch_fast([" " + p for p in pieces], add_special_tokens=False)]
+        found = []
+        for piece, a, b in zip(pieces, a_ids, self.b.encode(pieces, num_threads=1), strict=True):
+            want = (" " + piece).encode()
+            if b"".join([self.a_bytes[i] for i in a]) != want or b"".join([self.b_bytes[i] for i in b]) != want:
+                found.append(None)
+                continue
+            groups = self.groups(a, b) if len(a) > 1 and len(b) > 1 else [(a, b)]
+            pairs = array.array("q", [x * SHIFT + y for ga, gb in groups for x in ga for y in gb])
+            text = ";".join([",".join(map(str, ga)) + "|" + ",".join(map(str, gb)) for ga, gb in groups])
+            found.append((len(a), len(b), len(groups), pairs.tobytes(), text.encode()))
+        return found
+
+    def columns(self, texts: pa.Array) -> list[pa.Array]:
+        """The columns of SCHEMA after doc_id for every text."""
+        chunks, bounds = split_texts(pc.fill_null(texts, ""), None)
+        # A text's later chunks begin with their space; the first one has the added space.
+        first = np.zeros(len(chunks), bool)
+        first[bounds[:-1]] = True
+        pieces = pc.if_else(pa.array(first), chunks, pc.utf8_slice_codeunits(chunks, 1))
+        coded = pieces.dictionary_encode()
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        distinct = coded.dictionary.to_pylist()
+        unknown = [i for i, p in enumerate(distinct) if p not in self.known]
+        new = dict(zip([distinct[i] for i in unknown], self.aligned_pieces([distinct[i] for i in unknown]), strict=True))
+        found = [new[p] if p in new else self.known[p] for p in distinct]
+        if len(self.known) > CACHE_PIECES:
+            self.known.clear()
+        seen = np.bincount(index, minlength=len(distinct))
+        self.known.update({distinct[i]: found[i] for i in unknown if seen[i] > 1 and len(distinct[i]) < LONG_PIECE})
+        present = pc.greater(pc.fill_null(pc.binary_length(texts), 0), 0).to_pylist()
+        figures, digests, pairs, links, sizes = np.zeros((4, len(texts)), np.int64), [], [], [], []
+        for i, (low, high) in enumerate(itertools.pairwise(bounds.tolist())):
+            parts = [found[j] for j in index[low:high].tolist()] if present[i] else [None]
+            if None in parts:
+                digests.append("")
+                sizes.append(0)
+                continue
+            n_a, n_b, n_groups, held, shown = zip(*parts, strict=True)
+            all_pairs = np.frombuffer(b"".join(held), np.int64)
+            pair, n = np.unique(all_pairs, return_counts=True)
+            figures[:, i] = sum(n_a), sum(n_b), sum(n_groups), len(all_pairs)
+            digests.append(hashlib.sha256(b";".join(shown)).hexdigest())
+            pairs.append(pair)
+            links.append(n)
+            sizes.append(len(pair))
+        flat = [np.concatenate([np.zeros(0, np.int64), *x]) for x in (pairs, links)]
+        entries = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in flat], ["pair", "links"])
+        ends = pa.array(np.cumsum([0, *sizes]), pa.int32())
+        return [*map(pa.array, figures), pa.array(digests, pa.string()), pa.ListArray.from_arrays(ends, entries)]
+
+
 @functools.lru_cache(maxsize=2)
 def aligner(byte_bpe: str, pieces: bytes) -> Aligner:
     return Aligner(byte_bpe, pieces)
 
 
-def row(doc_id, row_key, tokens, model: Aligner) -> tuple:
-    if tokens is None:
-        return (row_key, doc_id, 0, 0, 0, 0, "", [])
-    a, b = tokens
-    groups = model.groups(a, b)
-    links: dict[int, int] = {}
-    for ga, gb in groups:
-        for x in ga:
-            for y in gb:
-                key = x * SHIFT + y
-                links[key] = links.get(key, 0) + 1
-    text = ";".join(",".join(map(str, ga)) + "|" + ",".join(map(str, gb)) for ga, gb in groups)
-    return (
-        row_key,
-        doc_id,
-        len(a),
-        len(b),
-        len(groups),
-        sum(len(ga) * len(gb) for ga, gb in groups),
-        hashlib.sha256(text.encode()).hexdigest(),
-        [{"pair": k, "links": v} for k, v in links.items()],
-    )
-
-
 def aligned(documents: DataFrame, byte_bpe_path: str, pieces_path: str) -> DataFrame:
     """Per row (numbered ``_row``): doc_id, n_a, n_b, n_groups, n_links,
     groups_sha256 and its distinct linked pairs with their numbers of links."""
@@ -147,18 +174,11 @@ def aligned(documents: DataFrame, byte_bpe_path: str, pieces_path: str) -> DataF
     with open(pieces_path, "rb") as file:
         pieces = spark.sparkContext.broadcast(file.read())
     names = [f.split(" ")[0] for f in SCHEMA.split(", ")]
-    types = pa.schema([pa.field(n, pa.int64()) for n in names[:6]] + [
-        pa.field("groups_sha256", pa.string()),
-        pa.field("pairs", pa.list_(pa.struct([("pair", pa.int64()), ("links", pa.int64())]))),
-    ])
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = aligner(byte_bpe.value, pieces.value)
-        for part in slices(batches, "text"):
-            texts = part["text"].to_pylist()
-            found = model.tokens(texts)
-            rows = [row(d, r, t, model) for d, r, t in zip(part["doc_id"].to_pylist(), part["_row"].to_pylist(), found)]
-            yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=types)
+        for part in slices(batches, "text", ALIGN_BYTES):
+            columns = [part["_row"], part["doc_id"], *model.columns(part["text"])]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     numbered = documents.select("doc_id", "text", F.monotonically_increasing_id().alias("_row"))
     return numbered.mapInArrow(run, SCHEMA)
