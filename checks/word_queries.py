@@ -309,9 +309,7 @@ TOPICS = {
 
 
 def _doc_keywords(spark: SparkSession, sf: str) -> DataFrame:
-    counts = W.ordered_word_counts(documents(spark, sf), "doc_id", "doc_id")
-    ranked = W.top_words(W.without_stop_words(counts, STOP_WORDS), "doc_id")
-    return W.keyword_lists(ranked, "doc_id")
+    return W.leading_words(documents(spark, sf), "doc_id", "doc_id", stop_words=STOP_WORDS)
 
 
 def _classified(spark: SparkSession, sf: str) -> DataFrame:

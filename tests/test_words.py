@@ -116,3 +116,33 @@ def test_mean_word_frequency_by_hand(spark):
     docs = spark.createDataFrame([("a", "the cat the"), ("b", "dog cat")], "site string, text string")
     rows = W.mean_word_frequency(W.word_counts(docs, "site"), "site", ["the"]).collect()
     assert {r["word"]: r["mean_freq"] for r in rows} == {"cat": (1 / 2 + 1 / 2) / 2, "dog": (1 / 2) / 2}
+
+
+def exchanged(frame):
+    """The columns of all shuffles of a plan."""
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+
+
+def test_leading_words_of_single_and_repeated_keys(spark):
+    rows = [(1, "b a b c"), (2, "zwei drei"), (2, "drei vier vier drei"), (3, None), (4, "on"), (None, "xx yy yy"), (None, "xx xx")]
+    docs = spark.createDataFrame([(k, " ".join(w * 2 if len(w) == 1 else w for w in (t or "").split()) or None) for k, t in rows], "k long, text string")
+    got = {r["k"]: r["keywords"] for r in W.leading_words(docs, "k", "k", n=2, stop_words=["on"]).collect()}
+    assert got == {1: ["bb", "aa"], 2: ["drei", "vier"], None: ["xx", "yy"]}
+
+
+def test_words_of_single_rows_are_not_shuffled(spark):
+    docs = spark.range(100).select(F.col("id"), F.lit("one two two three").alias("text"))
+    found = W.leading_words(docs, "id", "id", stop_words=["none"])
+    assert not exchanged(found)
+    assert found.first()["keywords"] == ["two", "one", "three"]
+
+
+def test_weights_of_rows_of_one_document_add_up(spark):
+    def weights(rows):
+        docs = spark.createDataFrame(rows, "site string, text string")
+        return {(r["doc"], r["word"]): round(r["weight"], 9) for r in W.tf_idf(docs, "site", stop_words=["none"]).collect()}
+
+    joined = weights([("a", "xx yy xx xx zz"), ("b", "yy"), (None, "xx")])
+    assert joined == weights([("a", "xx yy"), ("a", "xx xx zz"), ("b", "yy"), ("b", None), (None, "xx")])
+    assert len(joined) == 4

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from webtables.functions import text as X, urls
 from webtables.operators.skew import join_summary, with_part
+from webtables.sources.tables import materialise
 
 # Characters of a row of joined texts before the next text begins a new one.
 TEXT_LIMIT = 50_000_000
@@ -98,6 +99,59 @@ def ordered_word_counts(
     )
 
 
+def _let(value: str, name: str, body: str) -> str:
+    """SQL for ``body`` with ``name`` bound to ``value``, which is evaluated once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+#: The distinct words of the array column ``found`` with their number and first place,
+#: in order of the words; they are sorted within the row, so nothing is shuffled.
+ROW_COUNTS = _let(
+    "sort_array(transform(found, (w, i) -> named_struct('word', w, 'pos', i)))",
+    "s",
+    _let(
+        """CASE WHEN size(s) > 0 THEN filter(sequence(0, size(s) - 1),
+            j -> CASE WHEN j = 0 THEN true ELSE s[j - 1].word <> s[j].word END) ELSE array() END""",
+        "starts",
+        """transform(starts, (j, i) -> named_struct('word', s[j].word,
+            'n', CAST(coalesce(get(starts, i + 1), size(s)) - j AS BIGINT), 'pos', s[j].pos))""",
+    ),
+)
+
+
+def leading_words(
+    docs: DataFrame,
+    key: str,
+    ordinal: str,
+    text: str = "text",
+    n: int = 5,
+    stop_words: Sequence[str] | None = None,
+) -> DataFrame:
+    """The n most frequent words per key, ties by first occurrence: key, keywords.
+
+    A key of one row, as a document's, gets its words within the row, and only
+    these meet by key. The words of other keys' rows are counted within the rows
+    and added up by (key, word). A key without any word has no row.
+    """
+    stops = default_stop_words() if stop_words is None else list(stop_words)
+    found = F.filter(X.words(F.col(text)), lambda w: ~w.isin(*stops))
+    counted = docs.select(key, ordinal, found.alias("found")).select(key, ordinal, F.expr(ROW_COUNTS).alias("counts"))
+    # The most frequent first: sorted by -n and the place, then cut.
+    order = F.transform("counts", lambda c: F.struct((-c["n"]).alias("n"), c["pos"].alias("pos"), c["word"].alias("word")))
+    own = F.transform(F.slice(F.sort_array(order), 1, n), lambda c: c["word"])
+    by_key = counted.select(key, own.alias("keywords")).groupBy(key)
+    cut = materialise(by_key.agg(F.count(F.lit(1)).alias("_rows"), F.any_value("keywords").alias("keywords")))
+    alone = cut.filter((F.col("_rows") == 1) & (F.size("keywords") > 0)).select(key, "keywords")
+    several = cut.filter(F.col("_rows") > 1).select(F.col(key).alias("_key"))
+    if several.isEmpty():
+        return alone
+    rows = counted.join(several, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
+    entries = rows.select(key, F.col(ordinal).cast("bigint").alias("ord"), F.inline("counts"))
+    first = F.min(F.struct("ord", "pos"))
+    counts = entries.groupBy(key, "word").agg(F.sum("n").alias("n"), first["ord"].alias("first_ord"), first["pos"].alias("first_pos"))
+    return alone.unionByName(keyword_lists(top_words(counts, key, n), key))
+
+
 def without_stop_words(
     counts: DataFrame, stop_words: Sequence[str] | None = None, word: str = "word"
 ) -> DataFrame:
@@ -147,28 +201,36 @@ def tf_idf(
     weight = n * (ln((1 + docs) / (1 + docs with word)) + 1), over its length.
     """
     stops = default_stop_words() if stop_words is None else list(stop_words)
-    # Both joins below drop null keys; dropping them here first keeps every use
-    # of counts the same plan, so that the texts are read and shuffled once.
-    counts = (
-        docs.select(F.col(key).alias("doc"), F.explode(X.terms(F.col(text))).alias("word"))
-        .filter(F.col("doc").isNotNull() & F.col("word").isNotNull())
-        .filter(~F.col("word").isin(*stops))
-        .groupBy("doc", "word")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    found = F.filter(X.terms(F.col(text)), lambda w: ~w.isin(*stops))
+    rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("doc"), found.alias("found"))
+    counts = rows.select("doc", F.expr(ROW_COUNTS).alias("counts"))
+    repeated = rows.groupBy("doc").agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1")
+    if not repeated.isEmpty():
+        # Some document has several rows, whose counts must be added up.
+        entries = counts.select("doc", F.inline("counts"))
+        added = entries.groupBy("doc", "word").agg(F.sum("n").alias("n"))
+        counts = added.select("doc", F.array(F.struct("word", "n")).alias("counts"))
+    else:
+        counts = counts.select("doc", F.transform("counts", lambda c: F.struct(c["word"].alias("word"), c["n"].alias("n"))).alias("counts"))
+    # Written once, as a document's words in one row; read three times.
+    counts = materialise(counts)
     n_docs = docs.agg(F.count_distinct(key).alias("n")).scalar()
-    # Counting on n keeps both uses of counts the same, so that it runs once.
-    found_in = counts.groupBy("word").agg(F.count_if(F.col("n") > 0).alias("df"))
+    words = counts.select("doc", F.inline("counts"))
+    # Written, so that Spark knows its size when it plans the joins with it.
+    found_in = materialise(words.groupBy("word").agg(F.count(F.lit(1)).alias("df")))
     idf = F.log((1 + n_docs) / (1 + F.col("df"))) + 1
-    raw = join_summary(counts, found_in, "word", spread="doc").select(
-        "doc", "word", (F.col("n") * idf).alias("v")
+    lengths = (
+        words.join(found_in, "word")
+        .groupBy("doc")
+        .agg(F.sqrt(F.sum(F.pow(F.col("n") * idf, 2))).alias("length"))
     )
-    lengths = raw.groupBy("doc").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("length"))
     if labels is not None:
         lengths = lengths.join(labels.select("doc", "cluster"), "doc")
     kept = [] if labels is None else ["cluster"]
-    return join_summary(raw, lengths, "doc", spread="word").select(
-        "doc", "word", (F.col("v") / F.col("length")).alias("weight"), *kept
+    # The lengths meet a document's words in one row before these are laid out.
+    scaled = join_summary(counts, lengths, "doc", spread="counts").select("doc", "length", *kept, F.inline("counts"))
+    return scaled.join(found_in, "word").select(
+        "doc", "word", (F.col("n") * idf / F.col("length")).alias("weight"), *kept
     )
 
 
