@@ -39,6 +39,42 @@ def test_every_document_is_at_its_nearest_centre(docs, weights):
         assert costs[c] <= min(costs.values()) + 1e-8
 
 
+@pytest.mark.parametrize("head", [3, 60, 1 << 21])
+def test_labels_do_not_depend_on_how_words_are_met(docs, weights, head, monkeypatch):
+    # Frequent words by broadcast, others by join, words of one document alone: as a plain Lloyd's walk.
+    monkeypatch.setattr(C, "HEAD_VALUES", head)
+    labels = {r["doc"]: r["cluster"] for r in C.cluster_documents(weights, docs, 3, seed=777).collect()}
+    words = sorted({r["word"] for r in weights.collect()})
+    vectors = {d: np.zeros(len(words)) for d in labels}
+    for r in weights.collect():
+        vectors[r["doc"]][words.index(r["word"])] = r["weight"]
+    order = [F.xxhash64(F.lit(777), "doc"), F.col("doc")]
+    first = [r["doc"] for r in weights.select("doc").distinct().orderBy(*order).limit(3).collect()]
+    centres, known = {i: vectors[d] for i, d in enumerate(first)}, {d: i for i, d in enumerate(first)}
+    while True:
+        new = {}
+        for d in labels:
+            costs = [((centres[c]) ** 2).sum() - 2 * vectors[d] @ centres[c] if c in centres else np.inf for c in range(3)]
+            near = [c for c in range(3) if costs[c] <= min(costs) + 1e-9]
+            new[d] = known[d] if known.get(d) in near else near[0]
+        if new == known:
+            break
+        known = new
+        centres = {c: np.mean([vectors[d] for d in known if known[d] == c], axis=0) for c in set(known.values())}
+    assert labels == known
+
+
+def test_weights_stay_in_their_buckets(spark, docs, weights, folder):
+    # A step joins them with the moved documents without shuffling them.
+    entries = weights.groupBy(F.col("doc").alias("row")).agg(F.collect_list("weight").alias("head"))
+    name = C._bucketed(entries, "row", f"{folder}/vectors")
+    moved = docs.select(F.col("doc").alias("row"))
+    joined = spark.table(name).join(moved.hint("shuffle_hash"), "row")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    spark.sql(f"DROP TABLE {name}")
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+
+
 def test_same_seed_same_labels(docs, weights):
     first = sorted(C.cluster_documents(weights, docs, 3, seed=777).collect())
     assert first == sorted(C.cluster_documents(weights, docs, 3, seed=777).collect())
