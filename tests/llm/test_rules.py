@@ -94,3 +94,9 @@ def test_query_equals_sql(spark):
     assert sorted(got.columns) == sorted(want.columns)
     key = lambda frame: sorted(map(tuple, frame[sorted(frame.columns)].astype(str).values.tolist()))
     assert key(got) == key(want)
+
+
+def test_sorting_calls_no_comparator_and_words_are_not_searched_again(frame):
+    plan = rules.base(frame)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction(if" not in plan and "array_sort" not in rules.DUP_LINE_CHARS
+    assert plan.count("regexp_replace") == 1  # the symbols; word_chars come from the words

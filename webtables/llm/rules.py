@@ -53,9 +53,10 @@ def let(value: str, name: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-# 3-word windows of words ``ws`` with their place, sorted; a window is repeated if a
+# 3-word windows of words ``ws`` with their place, sorted (by sort_array: array_sort would
+# call an interpreted comparator); a window is repeated if a
 # sorted neighbour equals it; the words covered by repeated windows.
-WINDOWS = """array_sort(CASE WHEN size(ws) >= 3 THEN transform(sequence(0, size(ws) - 3),
+WINDOWS = """sort_array(CASE WHEN size(ws) >= 3 THEN transform(sequence(0, size(ws) - 3),
     i -> named_struct('t', concat_ws(' ', ws[i], ws[i + 1], ws[i + 2]), 'i', i)) ELSE array() END)"""
 REPEATED = """filter(sequence(0, size(win) - 1), j -> size(win) > 0 AND (
     (CASE WHEN j > 0 THEN win[j - 1].t = win[j].t ELSE false END)
@@ -63,7 +64,7 @@ REPEATED = """filter(sequence(0, size(win) - 1), j -> size(win) > 0 AND (
 COVERED = f"size(array_distinct(flatten(transform({REPEATED}, j -> sequence(win[j].i, win[j].i + 2)))))"
 REPEAT_WORDS = let("_words", "ws", let(WINDOWS, "win", COVERED))
 # Characters of lines equal to an earlier one: in the sorted lines, those equal to their predecessor.
-DUP_LINE_CHARS = """aggregate(array_sort(_lines), named_struct('p', CAST(NULL AS STRING), 's', 0L),
+DUP_LINE_CHARS = """aggregate(sort_array(_lines), named_struct('p', CAST(NULL AS STRING), 's', 0L),
     (acc, l) -> named_struct('p', l, 's', acc.s + CASE WHEN acc.p = l THEN length(l) ELSE 0 END), acc -> acc.s)"""
 
 #: The method's rules: name, SQL that is true when the rule rejects. They read the base
@@ -90,7 +91,7 @@ def base(documents: DataFrame) -> DataFrame:
         "_words",
         "_lines",
         F.size("_words").cast("long").alias("n_words"),
-        F.coalesce(F.length(F.regexp_replace("text", SPACE, "")), F.lit(0)).cast("long").alias("word_chars"),
+        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         F.coalesce(F.length("text") - F.length(F.regexp_replace("text", SYMBOLS, "")), F.lit(0)).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.expr(REPEAT_WORDS).cast("long").alias("n_repeat_words"),
