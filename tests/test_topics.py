@@ -1,6 +1,6 @@
 import pytest
 
-from webtables.operators import topics as K
+from webtables.operators import topics as K, words as W
 from webtables.plans.jobs import website_topics
 
 # Only words the tests use.
@@ -96,3 +96,11 @@ def test_sample_is_independent_of_partitioning(spark):
     whole = [sorted(map(tuple, K.random_rows(frame.repartition(p), 40, 1).collect()), key=repr) for p in (1, 211)]
     assert whole[0] == whole[1] and len(whole[0]) == 40
     assert K.random_rows(frame.limit(0), 3, 1).count() == 0
+
+
+def test_topic_queries_shuffle_no_word_of_a_document_of_one_row(spark, topics):
+    # Only keywords, votes and topics meet by key: no list of counted words is dealt out.
+    docs = spark.createDataFrame([(1, 1, "cat dog cat"), (2, 2, "bird")], "k bigint, o bigint, text string")
+    keywords = W.leading_words(docs, "k", "o", stop_words=["the"])
+    plan = K.site_topics(keywords, topics, "k")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and sorted(keywords.collect()) == [(1, ["cat", "dog"]), (2, ["bird"])]
