@@ -2,7 +2,10 @@
 
 import collections
 import hashlib
+import itertools
+import random
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -90,3 +93,36 @@ def test_query_equals_plain_walk(spark):
     got = queries.op13_align(spark, SF)
     texts = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     assert sorted((tuple(r) for r in got.collect()), key=repr) == expected([(d, t) for d, t in texts])
+
+
+SIGNS = [*" aAéßzŁ.,;'\n\t5!<|>#-_", "\x00", "\x0b", "\x1c", "\x85", "\xa0", "×", "÷", "¿", "«", "ȿ", "ɐ", "\u0301", "\u1680", "\u2009",
+         "\u2028", "\u3000", "\u180e", "▁", "…", "“", "Ж", "д", "日", "の", "🙂", "'s", "n't", " the", " of", "\r\n", "  ", "ing", "heit", "<s>", "<|endoftext|>"]
+
+
+def test_pieces_align_as_their_text_does():
+    # Every order of two and of three signs once, and longer texts of many.
+    drawn = random.Random(5)
+    texts = ["".join(x) for x in itertools.product(SIGNS, repeat=2)]
+    texts += ["".join(drawn.choices(SIGNS, k=drawn.choice([3, 3, 5, 9, 40]))) for _ in range(6000)]
+    texts += [None, ""]
+    with open(queries.BYTE_BPE, encoding="utf-8") as a, open(queries.PIECE_BPE, "rb") as b:
+        model = align.Aligner(a.read(), b.read())
+    for part in itertools.batched(texts, 500):
+        # The second time from the pieces kept.
+        for _ in range(2):
+            n_a, n_b, n_groups, n_links, digest, pairs = (x.to_pylist() for x in model.columns(pa.array(part, pa.string())))
+            for i, text in enumerate(part):
+                want = plain(text)
+                a, b, groups = want or ([], [], [])
+                links = collections.Counter((x << 32) + y for ga, gb in groups for x in ga for y in gb)
+                shown = ";".join(",".join(map(str, ga)) + "|" + ",".join(map(str, gb)) for ga, gb in groups)
+                figures = (len(a), len(b), len(groups), links.total())
+                assert (n_a[i], n_b[i], n_groups[i], n_links[i]) == figures, repr(text)
+                assert digest[i] == (hashlib.sha256(shown.encode()).hexdigest() if want else ""), repr(text)
+                assert {p["pair"]: p["links"] for p in pairs[i]} == links, repr(text)
+
+
+def test_words_are_encoded_once_whatever_mark_follows():
+    pieces, bounds = align.pieces_of(pa.array(["word, word.\nword", "", "word;"]))
+    assert pieces.to_pylist() == [" word", ",", " word", ".", "\n", "word", " ", " word", ";"]
+    assert bounds.tolist() == [0, 6, 7, 9]
