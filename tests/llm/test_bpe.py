@@ -1,4 +1,6 @@
 import hashlib
+import itertools
+import random
 
 import numpy as np
 import pyarrow as pa
@@ -108,3 +110,31 @@ def test_length_histogram(spark, library):
         assert r.n_tokens == ordered[int(np.ceil(r.share * len(ordered))) - 1]
     assert lengths.context_limits(hist.limit(0)).count() == 0
     assert lengths.truncated_total(hist.limit(0), 7).first().total_tokens == 0
+
+
+def test_word_ids_are_those_of_the_whole_text():
+    signs = [*" aAéßzŁİȿ.,;'\n\t5!<|>#-_", "\x00", "\x0b", "\x85", "\xa0", "×", "¿", "«", "ɐ", "\u0301", "\u0307", "\u1680", "\u2028", "\u3000",
+             "…", "Σ", "σ", "Ж", "д", "\u212a", "日", "の", "\u1100", "\u1161", "🙂", "'s", "n't", " the", " Of", "\r\n", "  ", "ing", "</w>", "<|endoftext|>"]
+    drawn = random.Random(5)
+    texts = ["".join(x) for x in itertools.product(signs, repeat=2)]
+    texts += ["".join(drawn.choices(signs, k=drawn.choice([3, 3, 5, 9, 40]))) for _ in range(6000)]
+    texts += [x for c in range(0xC0, 0x250) for x in (chr(c), f"A{chr(c)}B.")]
+    with open(WORD_BPE, encoding="utf-8") as file:
+        definition = file.read()
+    library, ids = Tokenizer.from_str(definition), simple8b.WordIds(definition)
+    for part in itertools.batched([*texts, ""], 500):
+        want = [x.ids for x in library.encode_batch(list(part), add_special_tokens=False)]
+        # The second time from the pieces kept.
+        for _ in range(2):
+            got = ids.encode(pa.array(part, pa.string())).to_pylist()
+            for text, x, y in zip(part, got, want, strict=True):
+                assert np.frombuffer(x, "<u4").tolist() == y, repr(text)
+
+
+def test_words_are_given_to_the_library_many_at_a_time():
+    with open(WORD_BPE, encoding="utf-8") as file:
+        ids = simple8b.WordIds(file.read())
+    asked, encode = [], ids._ids
+    ids._ids = lambda texts: asked.extend(texts) or encode(texts)
+    ids.encode(pa.array(["One word, two words.", "(One) word; words"]))
+    assert [x.strip() for x in asked if x.strip()] == ["one word two words", ",", ".", "(", ")", ";"]

@@ -17,10 +17,11 @@ the end id only. An empty table gives files without segments.
 
 from __future__ import annotations
 
-import array
 import functools
+import itertools
+import json
 import os
-import sys
+import re
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -29,7 +30,9 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from webtables.llm.common import ENCODE_BYTES, ChunkIds, extended, extended_schema, shuffle_tasks, slices
+from webtables.llm.common import (
+    ENCODE_BYTES, JOINED, LATIN_LETTER, PieceTable, before, extended, extended_schema, pieces_of, shuffle_tasks, slices,
+)
 
 #: Ids per block, and ids per segment before it is closed.
 BLOCK = 512
@@ -38,6 +41,8 @@ SEGMENT_IDS = 1 << 18
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
 WIDTHS = 60 // COUNTS
 ESCAPE = len(COUNTS)
+#: Pieces whose ids a task keeps.
+CACHE_PIECES = 300_000
 Batches = Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 SEGMENTS = (
     "part int, segment int, part_start bigint, n_ids bigint, doc_ids array<bigint>,"
@@ -60,7 +65,7 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     size[-1] = n - BLOCK * (n_blocks - 1)
     # The selector each position would take: the first whose ids all fit its width.
     # The widest id of the next c is the maximum over two runs of half the length.
-    bits = np.frexp(padded.astype(np.float64))[1].astype(np.int8)
+    bits = ((padded.astype(np.float64).view(np.int64) >> 52) - 1022).clip(0).astype(np.int8)
     widest = {1: bits}
     choice = np.full((n_blocks, BLOCK), ESCAPE, np.int8)
     for s in range(ESCAPE - 1, -1, -1):
@@ -72,30 +77,33 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             run[:, : run.shape[1] - step] = widest[half][:, step:]
             half += step
             widest[half] = np.maximum(widest[half - step], run)
-        choice[widest[c][:, :BLOCK] <= WIDTHS[s]] = s
-    at = np.zeros(n_blocks, np.int64)
-    words, owners = [], []
-    while len(live := np.flatnonzero(at < size)):
-        position = at[live]
-        selector = choice[live, position].astype(np.int64)
-        word = selector.astype(np.uint64)
-        escaped = selector == ESCAPE
-        count = np.where(escaped, 1, COUNTS[np.minimum(selector, ESCAPE - 1)])
-        width = WIDTHS[np.minimum(selector, ESCAPE - 1)]
-        for k in range(int(count[~escaped].max(initial=0))):
-            use = (k < count) & ~escaped
-            value = padded[live[use], position[use] + k]
-            word[use] |= value << (4 + width[use] * k).astype(np.uint64)
-        words.append(word)
-        owners.append(live)
-        if escaped.any():
-            words.append(padded[live[escaped], position[escaped]])
-            owners.append(live[escaped])
-        at[live] += count
-    owner = np.concatenate(owners)
-    order = np.argsort(owner, kind="stable")
-    per_block = np.bincount(owner, minlength=n_blocks)
-    return np.concatenate(words)[order], (np.cumsum(per_block) - per_block).astype(np.int32)
+        choice = np.where(widest[c][:, :BLOCK] <= WIDTHS[s], np.int8(s), choice)
+    # The first ids of all words, found in all blocks in step.
+    step = np.append(COUNTS, 1)[choice]
+    live, at, found = np.arange(n_blocks), np.zeros(n_blocks, np.int64), []
+    while len(live):
+        found.append(live * BLOCK + at)
+        at = at + step[live, at]
+        left = at < size[live]
+        live, at = live[left], at[left]
+    first = np.sort(np.concatenate(found))
+    block, position = np.divmod(first, BLOCK)
+    selector = choice[block, position].astype(np.int64)
+    escaped = selector == ESCAPE
+    word = selector.astype(np.uint64)
+    start, ids_of = block * padded.shape[1] + position, padded.ravel()
+    for s, (count, width) in enumerate(zip(COUNTS.tolist(), WIDTHS.tolist(), strict=True)):
+        of = np.flatnonzero(selector == s)
+        at, filled = start[of], word[of]
+        for k in range(count if len(of) else 0):
+            filled |= ids_of[at + k] << np.uint64(4 + width * k)
+        word[of] = filled
+    # An escaped id follows its selector's word.
+    place = before(1 + escaped)
+    words = np.empty(place[-1], np.uint64)
+    words[place[:-1]] = word
+    words[place[:-1][escaped] + 1] = padded[block[escaped], position[escaped]]
+    return words, place[np.searchsorted(block, np.arange(n_blocks))].astype(np.int32)
 
 
 def unpack(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
@@ -106,49 +114,108 @@ def unpack(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
     for i in np.flatnonzero(selector == ESCAPE):
         if not raw[i]:
             raw[i + 1] = True
-    escape = (selector == ESCAPE) & ~raw
-    plain = ~raw & ~escape
-    capped = np.minimum(selector, ESCAPE - 1)
-    count = np.where(plain, COUNTS[capped], np.where(raw, 1, 0))
-    width = np.where(raw, 0, WIDTHS[capped])
-    ends = np.cumsum(count)
-    k = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - count, count)
-    wide, source, is_raw = np.repeat(width, count), np.repeat(words, count), np.repeat(raw, count)
-    value = (source >> (4 + wide * k).clip(max=63).astype(np.uint64)) & ((np.uint64(1) << wide.astype(np.uint64)) - np.uint64(1))
-    value = np.where(is_raw, source, value)
+    selector[raw] = ESCAPE
+    # An escape's selector has no ids itself, the word after it one of all bits.
+    count = np.append(COUNTS, 0)[selector]
+    count[raw] = 1
     # The last word of a block may have room for more ids than were left.
     block = np.searchsorted(offsets, np.arange(len(words)), "right") - 1
-    of = np.repeat(block, count)
-    first = np.searchsorted(of, np.arange(len(offsets)))
-    place = np.arange(len(value)) - first[of] if len(of) else np.zeros(0, np.int64)
-    return value[place < np.where(of == len(offsets) - 1, n - BLOCK * (len(offsets) - 1), BLOCK)]
-
-
-def little_endian(ids: list[int]) -> bytes:
-    """32-bit integers; for the few ids of a word this is faster than numpy."""
-    packed = array.array("I", ids)
-    if sys.byteorder == "big":
-        packed.byteswap()
-    return packed.tobytes()
+    earlier = before(count)
+    start = earlier[:-1] - earlier[offsets][block] if len(words) else earlier[:-1]
+    left = np.where(block == len(offsets) - 1, n - BLOCK * (len(offsets) - 1), BLOCK) - start
+    count = np.minimum(count, left)
+    start += BLOCK * block
+    value = np.zeros(n, np.uint64)
+    for s, (most, width) in enumerate(zip(COUNTS.tolist(), WIDTHS.tolist(), strict=True)):
+        of = np.flatnonzero(selector == s)
+        for k in range(most if len(of) else 0):
+            if k:
+                of = of[count[of] > k]
+            value[start[of] + k] = (words[of] >> np.uint64(4 + width * k)) & np.uint64((1 << width) - 1)
+    value[start[raw]] = words[raw]
+    return value
+
+
+#: Pieces that are one word to the tokenizer: only letters, also after lower-casing.
+WORD = rf"\A{LATIN_LETTER}+\z"
+
+
+def lowered(pieces: pa.Array) -> pa.Array:
+    """Pieces without white space before them, words in lower case as the tokenizer makes them."""
+    pieces = pc.utf8_ltrim(pieces, " \n")
+    return pc.if_else(pc.match_substring_regex(pieces, WORD), pc.utf8_lower(pieces), pieces)
+
+
+class WordIds:
+    """Ids of pieces of texts, each distinct piece encoded once, words many in one text."""
+
+    def __init__(self, definition: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(definition)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        suffix = json.loads(definition)["model"].get("end_of_word_suffix")
+        #: Whether an id ends a word.
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+        self.added = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.known = PieceTable(self.encoded, CACHE_PIECES, lowered)
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encoded(self, pieces: pa.Array) -> pa.RecordBatch:
+        """Of each piece its ids as little-endian 32-bit integers."""
+        word = pc.match_substring_regex(pieces, WORD)
+        words, others = pieces.filter(word), pieces.filter(pc.invert(word))
+        text = pc.binary_join_element_wise(words, "", " ")
+        at = np.frombuffer(text.buffers()[1], np.int32)[: len(text) + 1] if len(text) else np.zeros(1, np.int32)
+        edges = [*at[:-1:JOINED].tolist(), int(at[-1])]
+        data = text.buffers()[2].to_pybytes() if len(text) else b""
+        flat = np.concatenate([np.zeros(0, "<u4"), *self._ids([data[x:y].decode() for x, y in itertools.pairwise(edges)])])
+        last = np.flatnonzero(self.ends[flat])
+        if len(last) == len(words) and (not len(flat) or last[-1] == len(flat) - 1):
+            size = np.diff(last, prepend=-1)
+        else:  # This tokenizer marks no ends of words.
+            each = self._ids(words.to_pylist())
+            flat, size = np.concatenate([flat[:0], *each]), np.array([len(x) for x in each], np.int64)
+        alone = self._ids(others.to_pylist())
+        flat = np.concatenate([flat, *alone])
+        at = 4 * before(np.concatenate([size, np.array([len(x) for x in alone], np.int64)]))
+        buffers = [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(flat.astype("<u4"))]
+        ids = pa.BinaryArray.from_buffers(pa.binary(), len(pieces), buffers)
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([words, others]), ids], names=["piece", "ids"])
+
+    def encode(self, texts: pa.Array) -> pa.Array:
+        """Ids of every text."""
+        pieces, bounds = pieces_of(texts, every_space=True)
+        whole = pc.match_substring_regex(texts, self.added) if self.added else pa.scalar(False)
+        if pc.any(whole).as_py():
+            # Texts that hold an added token stay whole.
+            rows = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pieces).to_pylist()
+            for i in np.flatnonzero(whole.to_numpy(zero_copy_only=False)):
+                rows[i] = [texts[i].as_py()]
+            lists = pa.array(rows, pa.list_(pa.string()))
+            pieces, bounds = lists.flatten(), before(pc.list_value_length(lists).to_numpy())
+        ids = self.known.rows(pieces)["ids"]
+        at = np.frombuffer(ids.buffers()[1], np.int32)[bounds]
+        return pa.BinaryArray.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(at), ids.buffers()[2]])
 
 
 @functools.lru_cache(maxsize=2)
-def _library(definition: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_str(definition)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    return tokenizer, ChunkIds()
+def _library(definition: str) -> WordIds:
+    return WordIds(definition)
 
 
 def encode_words(texts: DataFrame, path: str, end_id: int, column: str = "text") -> DataFrame:
     """Add ``token_ids`` (binary: little-endian 32-bit ids, the end id last).
 
-    The tokenizers library encodes each distinct chunk once. That gives the ids
+    The tokenizers library encodes each distinct piece once. That gives the ids
     of the whole text for a tokenizer that drops white space and never joins a
-    letter with a following stop or comma.
+    letter with a mark other than an apostrophe.
     """
     run = _encoder(texts, path, end_id, column)
     return texts.mapInArrow(run, extended_schema(texts.schema, "token_ids binary"))
@@ -161,26 +228,9 @@ def _encoder(texts: DataFrame, path: str, end_id: int, column: str = "text") ->
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, cache = _library(definition.value)
-
-        def encode_new(chunks: list[str]) -> list[bytes]:
-            coded = tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-            return [little_endian(x.ids) for x in coded]
-
+        library = _library(definition.value)
         for part in slices(batches, column, ENCODE_BYTES // 2):
-            text = pc.fill_null(part[column], "")
-            # Texts that hold the mark themselves stay whole.
-            cut = pc.replace_substring_regex(text, "[ \\n\\t\\r]+", "\0")
-            cut = pc.replace_substring_regex(cut, "(\\pL)([.,!?;:])", "\\1\0\\2")
-            lists = pc.split_pattern(cut, "\0")
-            whole = pc.match_substring(text, "\0")
-            if pc.any(whole).as_py():
-                rows = lists.to_pylist()
-                for i in np.flatnonzero(whole.to_numpy(zero_copy_only=False)):
-                    rows[i] = [text[i].as_py()]
-                lists = pa.array(rows, pa.list_(pa.string()))
-            bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
-            ids = cache.encode(lists.flatten(), bounds, encode_new)
+            ids = library.encode(pc.fill_null(part[column], ""))
             ids = pc.binary_join_element_wise(ids, pa.scalar(end, pa.binary()), pa.scalar(b"", pa.binary()))
             yield extended(part, token_ids=ids)
 
