@@ -1,7 +1,11 @@
+import random
+
 import pytest
 
+from checks import registry, word_queries  # noqa: F401
 from webtables.operators import topics as K, words as W
 from webtables.plans.jobs import website_topics
+from webtables.sources.tables import materialise
 
 # Only words the tests use.
 KEYWORDS = {
@@ -104,3 +108,40 @@ def test_topic_queries_shuffle_no_word_of_a_document_of_one_row(spark, topics):
     keywords = W.leading_words(docs, "k", "o", stop_words=["the"])
     plan = K.site_topics(keywords, topics, "k")._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all" not in plan and sorted(keywords.collect()) == [(1, ["cat", "dog"]), (2, ["bird"])]
+
+
+def dealt_out(frame):
+    """Bytes that the exchanges between tasks took in when the frame ran."""
+    frame.collect()
+
+    def below(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return below(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return below(node.plan())
+        own = node.metrics().apply("dataSize").value() if kind == "ShuffleExchangeExec" else 0
+        return own + sum(below(node.children().apply(i)) for i in range(node.children().size()))
+
+    return below(frame._jdf.queryExecution().executedPlan())
+
+
+@pytest.mark.parametrize("name", ["topic_votes"])
+def test_topic_queries_deal_out_far_less_than_the_texts(spark, folder, monkeypatch, name):
+    # Every word differs but one keyword a text, so that counts by (document, word) are as large as the texts.
+    draw = random.Random(3)
+    texts = [" ".join(["les", "les", *("".join(draw.choices("abcdefgh", k=9)) for _ in range(2000))]) for _ in range(20)]
+    rows = [(i, t, "fr", "s", len(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    written = []
+
+    def recorded(table):
+        written.append(table)
+        return materialise(table)
+
+    monkeypatch.setattr(W, "materialise", recorded, raising=False)
+    result = registry.QUERIES[name](spark, folder)
+    assert result.count() == {"topic_coverage": 1, "topic_preview": 10, "sites_with_topics": 0}.get(name, 20)
+    size = sum(len(t) for t in texts)
+    assert sum(dealt_out(f) for f in [*written, result]) < size / 10
