@@ -126,7 +126,7 @@ def dealt_out(frame):
     return below(frame._jdf.queryExecution().executedPlan())
 
 
-@pytest.mark.parametrize("name", ["topic_votes", "site_topics", "sites_with_topics", "topic_coverage"])
+@pytest.mark.parametrize("name", ["topic_votes", "site_topics", "sites_with_topics", "topic_coverage", "topic_preview"])
 def test_topic_queries_deal_out_far_less_than_the_texts(spark, folder, monkeypatch, name):
     # Every word differs but one keyword a text, so that counts by (document, word) are as large as the texts.
     draw = random.Random(3)
