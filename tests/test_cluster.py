@@ -1,8 +1,11 @@
+from pathlib import Path
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from webtables.operators import cluster as C, words as W
+from webtables.operators import cluster as C, packed, words as W
 from webtables.plans.jobs import clustered_websites
 
 THEMES = ["red green blue", "cat dog bird", "one two three"]
@@ -75,6 +78,58 @@ def test_weights_stay_in_their_buckets(spark, docs, weights, folder):
     assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
 
 
+def _local_files(spark):
+    """Files of shuffles and broadcasts in the session's local folders."""
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {blocks.apply(i).getName() for i in range(blocks.size())}
+
+
+def test_steps_leave_nothing_on_disk_but_the_labels(spark, docs, weights):
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    weights.count()
+    before, tables = _local_files(spark), set(shared.iterdir())
+    labels = C.cluster_documents(weights, docs, 3, seed=777)
+    assert not [name for name in _local_files(spark) - before if name.startswith("shuffle")]
+    left = [path for table in set(shared.iterdir()) - tables for path in table.rglob("part-*.parquet")]
+    # The words' counts and their words, the lengths and the labels; no vectors and no labels of earlier steps.
+    assert len({path.parent for path in left}) == 3
+    assert labels.count() == docs.count()
+
+
+@pytest.mark.parametrize("head", [3, 60, 1 << 21])
+def test_labels_of_weights_in_parts(docs, weights, head, monkeypatch):
+    monkeypatch.setattr(C, "HEAD_VALUES", head)
+    parts = W.tf_idf(docs, "doc", stop_words=["none"], parts=True)
+    rows = {(r["doc"], r["word"]): r["weight"] for r in weights.collect()}
+    assert {(r["doc"], r["word"]): r["weight"] for r in parts.rows().collect()} == pytest.approx(rows, abs=1e-12)
+    labels = C.cluster_documents(parts, docs, 3, seed=777)
+    assert sorted(labels.collect()) == sorted(C.cluster_documents(weights, docs, 3, seed=777).collect())
+    placed = {(r["doc"], r["cluster"]) for r in parts.rows(labels).collect()}
+    assert placed == {(r["doc"], r["cluster"]) for r in labels.collect() if r["doc"] != 99}
+
+
+def test_words_of_documents_are_not_dealt_out_one_by_one(docs):
+    # Frequent words' rows meet factors by broadcast, and a document's words its label in one row.
+    parts = W.tf_idf(docs, "doc", stop_words=["none"], parts=True)
+    plan = parts.rows(docs.select("doc", F.lit(0).alias("cluster")))._jdf.queryExecution().executedPlan().toString()
+    laid = [line for line in plan.splitlines() if "Exchange hashpartitioning(word" in line]
+    assert not laid and "BroadcastHashJoin [word" in plan
+
+
+def test_document_without_id_is_labelled(spark, docs, weights):
+    every = docs.select("doc").union(spark.createDataFrame([(None,)], "doc bigint"))
+    labels = {r["doc"]: r["cluster"] for r in C.cluster_documents(weights, every, 3, seed=777).collect()}
+    assert len(labels) == 32 and labels[None] == labels[99]
+
+
+def test_packed_words_come_back(spark):
+    rows = [(1, [("b", 2), ("a", 1), ("z", 5)]), (2, []), (3, None), (4, [("c", 70_000), ("b", 1)])]
+    counts = spark.createDataFrame(rows, "doc bigint, counts array<struct<word:string,n:bigint>>").repartition(1)
+    head = spark.sparkContext.broadcast(pa.array(["a", "b", "c"]))
+    back = packed.unpacked(packed.packed(counts, head), counts, head)
+    assert sorted(back.collect()) == [(1, "a", 1), (1, "b", 2), (4, "b", 1), (4, "c", 70_000)]
+
+
 def test_same_seed_same_labels(docs, weights):
     first = sorted(C.cluster_documents(weights, docs, 3, seed=777).collect())
     assert first == sorted(C.cluster_documents(weights, docs, 3, seed=777).collect())

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from webtables.operators import cluster as C, words as W
+from webtables.operators.skew import frequent_keys, join_frequent
 
 
 @pytest.fixture
@@ -74,3 +75,17 @@ def test_top_words_of_a_hot_cluster_are_cut_before_the_shuffle(spark):
     top = C.top_cluster_words(weights, labels, 3)
     assert "WindowGroupLimit" in _plan(top)
     assert {r["word"] for r in top.collect()} == {"w4999", "w4997", "w4996", "w4998", "w4995", "w4992"}
+
+
+@pytest.mark.parametrize("limit", [0, 1, 3, 100])
+def test_frequent_keys_meet_without_a_shuffle(spark, limit):
+    rows = spark.range(200).select(F.col("id").alias("doc"), F.concat(F.lit("w"), F.floor(F.sqrt("id")).cast("string")).alias("word"))
+    rows = rows.union(spark.createDataFrame([(1, "x" * 100), (2, "x" * 100), (3, "absent")], "doc bigint, word string"))
+    summary = rows.filter("word <> 'absent'").groupBy("word").agg(F.count("*").alias("df"))
+    often, n, others = frequent_keys(summary, "word", "df", limit)
+    assert n == summary.filter(often).count() <= limit and n + others == summary.count()
+    joined = join_frequent(rows, summary, "word", "df", spread="doc", limit=limit)
+    assert sorted(joined.select("doc", "word", "df").collect()) == sorted(rows.join(summary, "word").select("doc", "word", "df").collect())
+    if n:
+        rest = summary.filter(often).agg(F.min("df")).scalar()
+        assert summary.filter(~often & (F.length("word") < 64)).filter(F.col("df") > rest).isEmpty()
