@@ -1,3 +1,4 @@
+import time
 from pathlib import Path
 
 import numpy as np
@@ -89,7 +90,12 @@ def test_steps_leave_nothing_on_disk_but_the_labels(spark, docs, weights):
     weights.count()
     before, tables = _local_files(spark), set(shared.iterdir())
     labels = C.cluster_documents(weights, docs, 3, seed=777)
-    assert not [name for name in _local_files(spark) - before if name.startswith("shuffle")]
+    for _ in range(40):  # files are deleted in the background
+        kept = sorted(name for name in _local_files(spark) - before if name.startswith("shuffle"))
+        if not kept:
+            break
+        time.sleep(0.25)
+    assert not kept
     left = [path for table in set(shared.iterdir()) - tables for path in table.rglob("part-*.parquet")]
     # The words' counts and their words, the lengths and the labels; no vectors and no labels of earlier steps.
     assert len({path.parent for path in left}) == 3
